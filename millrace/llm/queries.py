@@ -1,9 +1,11 @@
 """The registered queries of this subpackage, one for each operator, and their SQL where SQL can express them."""
 
+from millrace.llm.packing import op10_packing
 from millrace.llm.simhash import op7_simhash
 
 QUERIES = {
     "op7_simhash": op7_simhash,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
