@@ -1,11 +1,13 @@
 """The registered queries of this subpackage, one for each operator, and their SQL where SQL can express them."""
 
 from millrace.llm.packing import op10_packing
+from millrace.llm.quality_classifier import op5_quality_classifier
 from millrace.llm.quality_rules import op4_quality_rules
 from millrace.llm.simhash import op7_simhash
 
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_simhash": op7_simhash,
     "op10_packing": op10_packing,
 }
