@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, one for each operator, and their SQL where SQL can express them."""
 
+from millrace.llm.ann import op1_nearest
 from millrace.llm.chat import OP2_SQL, op2_chat_formatting
 from millrace.llm.packing import op10_packing
 from millrace.llm.quality_classifier import op5_quality_classifier
@@ -8,6 +9,7 @@ from millrace.llm.simhash import op7_simhash
 from millrace.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
