@@ -6,6 +6,7 @@ from millrace.llm.packing import op10_packing
 from millrace.llm.quality_classifier import op5_quality_classifier
 from millrace.llm.quality_rules import op4_quality_rules
 from millrace.llm.simhash import op7_simhash
+from millrace.llm.toxicity import op9_toxicity
 from millrace.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_simhash": op7_simhash,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 
