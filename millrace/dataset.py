@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from millrace.inference import Shape, coerce, infer, same_schema, strict
 from millrace.operators import position
 from millrace.operators.position import POS
-from millrace.sources import readers, writers
+from millrace.sources import columnar, readers, writers
 
 #: Most rows whose exact CPython shuffle is computed on the driver.
 EXACT_ROWS = 5_000_000
@@ -101,7 +101,11 @@ class Dataset:
     # ---- writing
 
     def save_to_disk(self, path: str) -> None:
-        writers.write_parquet(self._frame, path)
+        """Parquet, or the binary container where the path ends with its suffix."""
+        if path.lower().endswith(columnar.SUFFIX):
+            columnar.write_columnar(self._frame, path)
+        else:
+            writers.write_parquet(self._frame, path)
 
     def to_json(self, path: str, lines: bool = True) -> None:
         (writers.write_jsonl if lines else writers.write_json)(self._frame, path)
@@ -232,7 +236,7 @@ def _shape_of_results(frame: DataFrame, fn) -> Shape:
 
 
 def load_dataset(spark: SparkSession, data_files: str | list[str]) -> Dataset:
-    """A dataset from .json (arrays), .jsonl or .ndjson, or .parquet files; a list is concatenated in its order."""
+    """A dataset from .json (arrays), .jsonl or .ndjson, .parquet or .nano (binary container) files; a list is concatenated in its order."""
     if isinstance(data_files, list):
         if not data_files:
             raise IndexError("no files")
@@ -240,7 +244,7 @@ def load_dataset(spark: SparkSession, data_files: str | list[str]) -> Dataset:
     if not isinstance(data_files, str):
         raise TypeError("data_files is a path or a list of paths")
     kind = data_files.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2].lower()
-    by_kind = {"json": readers.read_json, "jsonl": readers.read_jsonl, "ndjson": readers.read_jsonl, "parquet": readers.read_parquet}
+    by_kind = {"json": readers.read_json, "jsonl": readers.read_jsonl, "ndjson": readers.read_jsonl, "parquet": readers.read_parquet, "nano": columnar.read_columnar}
     if kind not in by_kind:
         raise ValueError(f"no reader for {data_files}")
     return Dataset(by_kind[kind](spark, data_files))
