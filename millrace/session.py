@@ -42,8 +42,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{scratch_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in a folder of this application."""
+    return f"{scratch_dir(spark)}/millrace-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Frames that read them can't be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/millrace-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

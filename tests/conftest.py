@@ -19,4 +19,7 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from millrace.session import release
+
+    release(s)
     s.stop()
