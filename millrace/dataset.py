@@ -48,8 +48,7 @@ class Dataset:
             if not same_schema(parts[0].schema, p.schema):
                 raise ValueError(f"schemas differ: {parts[0].schema.simpleString()} and {p.schema.simpleString()}")
         names = parts[0].columns
-        depth = F.concat
-        frames = [p._frame.select(depth(F.array(F.lit(i).cast("long")), F.col(POS)).alias(POS), *names) for i, p in enumerate(parts)]
+        frames = [p._frame.select(F.concat(F.array(F.lit(i).cast("long")), F.col(POS)).alias(POS), *names) for i, p in enumerate(parts)]
         out = frames[0]
         for f in frames[1:]:
             out = out.union(f)
@@ -176,10 +175,7 @@ class Dataset:
         if batched:
             return self._map_batches(fn, batch_size, schema)
         if schema is None:
-            shape = Shape()
-            own = self._frame.select(POS, F.to_json(F.lit(None).cast("string")).alias("_")) if not self.columns else self._frame
-            shape = _shape_of_results(own, lambda rows: [fn(r) for r in rows])
-            schema = shape.row_type()
+            schema = _shape_of_results(self._frame, lambda rows: [fn(r) for r in rows]).row_type()
         full = T.StructType([T.StructField(POS, T.ArrayType(T.LongType())), *schema.fields])
         arrow, kind = to_arrow_schema(full), schema
 
