@@ -8,6 +8,7 @@ the tokenizer whole."""
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 
@@ -15,20 +16,49 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: How byte-level BPE cuts a text before merging (fixed value of the published scheme).
+_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 _NUL = "\x00"
 _END_MARKS = ".,;:!?"
 
 
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{chr(b): b for b in own}, **{chr(256 + i): b for i, b in enumerate(rest)}}
+
+
+def ranked(path: str):
+    """The same ids from a faster merger, or None if the file isn't byte-level BPE whose ids ascend with its merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("ignore_merges"):
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:])):
+        return None
+    byte = byte_of_char()
+    ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    return tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Memo:
     """ids of texts; at most `most` words are remembered, then all are forgotten."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.white = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]").search
+        self.fast = ranked(path)
+        self.proved = False
         self.newline = self.whole("\n")
         if len(self.newline) != 1:
             raise ValueError("the tokenizer has no token for a line break")
@@ -36,8 +66,8 @@ class Memo:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {"": 0, "\n": 1}
-        self.pool: list[np.ndarray] = [np.array(self.newline, dtype=np.int32)]
-        self.starts, self.sizes, self.used = [0, 0], [0, 1], 1
+        self.pool = np.array(self.newline, dtype=np.int32)
+        self.starts, self.sizes = np.array([0, 0], dtype=np.int64), np.array([0, 1], dtype=np.int64)
 
     def odd(self, t: str) -> bool:
         """Whether the cuts at single spaces and line breaks may not hold in the text."""
@@ -48,19 +78,34 @@ class Memo:
 
     def _add(self, words: list[str]) -> None:
         """Encode words that the memo lacks, in one call: a line break stands between any two."""
-        ids = np.array(self.whole("\n".join(words)), dtype=np.int32)
+        joined = "\n".join(words)
+        if self.fast is not None and self.proved:
+            ids = np.array(self.fast.encode_ordinary(joined), dtype=np.int32)
+        else:
+            ids = np.array(self.whole(joined), dtype=np.int32)
+            if self.fast is not None and len(words) > 1000:  # once in a worker: both give the same
+                self.proved = self.fast.encode_ordinary(joined) == ids.tolist()
+                self.fast = self.fast if self.proved else None
         cuts = np.flatnonzero(ids == self.newline[0])
         starts = np.concatenate([[0], cuts + 1])
         ends = np.concatenate([cuts, [len(ids)]])
         if len(starts) != len(words):
             raise ValueError("words and token runs don't match")
-        base = self.used
-        self.pool.append(ids)
-        self.used += len(ids)
+        self._append(words, ids, starts, ends - starts)
+
+    def _append(self, words: list[str], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.starts)
         self.at.update(zip(words, range(n, n + len(words))))
-        self.starts += (starts + base).tolist()
-        self.sizes += (ends - starts).tolist()
+        self.starts = np.concatenate([self.starts, starts + len(self.pool)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of remembered words one after another, and where each ends."""
+        sizes = self.sizes[index]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.starts[index] - (ends - sizes), sizes) + np.arange(total)], ends
 
     def _learn(self, missing: list[str]) -> None:
         cores: dict[str, None] = {}
@@ -78,19 +123,12 @@ class Memo:
                 cores[w] = None
         if cores:
             self._add(list(cores))
-        if split:
-            pool = np.concatenate(self.pool)
-            self.pool = [pool]
-            starts, sizes, at = self.starts, self.sizes, self.at
-            parts = []
-            for w, core, tail in split:
-                a, b = at[core], at[tail]
-                parts += (pool[starts[a] : starts[a] + sizes[a]], pool[starts[b] : starts[b] + sizes[b]])
-                at[w] = len(starts)
-                starts.append(self.used)
-                sizes.append(sizes[a] + sizes[b])
-                self.used += sizes[-1]
-            self.pool.append(np.concatenate(parts))
+        if split:  # a word and its end marks: both are known now
+            both = np.array([self.at[x] for _, core, tail in split for x in (core, tail)], dtype=np.int64)
+            ids, ends = self._gather(both)
+            stops = ends[1::2]
+            starts = np.concatenate([[0], stops[:-1]])
+            self._append([w for w, _, _ in split], ids, starts, stops - starts)
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text; `end` is added after each text."""
@@ -113,14 +151,7 @@ class Memo:
             self._learn(list(dict.fromkeys(w for w, x in zip(words, known) if x is None)))
             known = list(map(at.__getitem__, words))
         index = np.array(known, dtype=np.int64)
-        if len(self.pool) > 1:
-            self.pool = [np.concatenate(self.pool)]
-        pool = self.pool[0]
-        sizes = np.array(self.sizes, dtype=np.int64)[index]
-        starts = np.array(self.starts, dtype=np.int64)[index]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)] if total else np.zeros(0, dtype=np.int32)
+        flat, ends = self._gather(index)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         lengths = np.diff(bounds)
         if not direct and end is None:

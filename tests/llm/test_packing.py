@@ -30,6 +30,15 @@ def test_ids_are_those_of_the_tokenizer():
         at += 37
 
 
+def test_fast_merger_gives_the_same_ids(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(150).collect()]
+    memo, t = bpe.Memo(PATH), Tokenizer.from_file(PATH)
+    memo.encode(texts[:50])
+    assert memo.proved
+    ids, _ = memo.encode(texts[50:])
+    assert ids.tolist() == [i for x in texts[50:] for i in t.encode(x, add_special_tokens=False).ids]
+
+
 def test_cuts_are_optimal():
     rng = np.random.default_rng(5)
     for _ in range(60):
