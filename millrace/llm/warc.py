@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import struct
 import uuid
 import zlib
@@ -35,6 +34,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from millrace.llm.common import table
 from millrace.session import materialize, scratch_path
+from millrace.sources.files import commit_manifest, committed, file_system
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, content_type string, payload_digest string, refers_to string, payload_length long, payload binary"
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
@@ -44,17 +44,6 @@ _HEAD = 1 << 14
 _CHUNK = 1 << 20
 
 
-def file_system(path: str):
-    """(file system, path in it)."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
 def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -129,11 +118,7 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
-        fs, root = file_system(self.path)
-        fs.create_dir(root, recursive=True)
-        files = sorted(f for m in messages if m for f in m.files)
-        with fs.open_output_stream(f"{root}/manifest-{uuid.uuid4().hex}.json") as out:
-            out.write(json.dumps({"files": files}).encode())
+        commit_manifest(self.path, [f for m in messages if m for f in m.files])
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = file_system(self.path)
@@ -304,27 +289,9 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Files]:
-        from pyarrow import fs as pafs
-
-        fs, root = file_system(self.path)
-        info = fs.get_file_info(root)
-        if info.type == pafs.FileType.NotFound:
-            raise FileNotFoundError(self.path)
-        if info.is_file:
-            return [Files([root])]
-        found = {x.path: x.size for x in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if x.is_file}
-        manifests = [p for p in found if p.rsplit("/", 1)[1].startswith("manifest-")]
-        if manifests:
-            names = []
-            for m in manifests:
-                with fs.open_input_stream(m) as f:
-                    names += [f"{m.rsplit('/', 1)[0]}/{x}" for x in json.loads(f.read())["files"]]
-            sizes = {n: found[n] for n in names}
-        else:
-            sizes = {p: s for p, s in found.items() if p.endswith((".warc", ".warc.gz"))}
         out: list[Files] = []
         held, size = [], 0
-        for p, s in sorted(sizes.items()):
+        for p, s in committed(self.path, (".warc", ".warc.gz")).items():
             if held and size + s > self.split:
                 out.append(Files(held))
                 held, size = [], 0
