@@ -35,7 +35,7 @@ def committed(path: str, suffixes: tuple[str, ...]) -> dict[str, int]:
     info = fs.get_file_info(root)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
-    if info.is_file:
+    if info.is_file:  # named itself, so its name doesn't matter
         return {root: info.size}
     found = {x.path: x.size for x in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if x.is_file}
     manifests = sorted(p for p in found if p.rsplit("/", 1)[1].startswith("manifest-"))
