@@ -48,13 +48,20 @@ def test_training_finds_tags():
 def test_held_out_accuracy_and_spans(spark):
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    # the toxic label of junk (quality 0) stands beside texts whose words don't hold it
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    labels = {r.doc_id: (r.toxic, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = {r.doc_id: r for r in t.op9_toxicity(spark, sf).collect()}
     assert len(got) == docs.count() and all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 for d, r in got.items())
-    held = [(got[d].predicted, y) for d, y in labels.items() if got[d].held_out]
-    hit = sum(p == y == 1 for p, y in held)
-    assert hit / sum(p for p, _ in held) > 0.97 and hit / sum(y for _, y in held) > 0.95
+
+    def rates(keep):
+        held = [(got[d].predicted, y) for d, (y, q) in labels.items() if got[d].held_out and keep(q)]
+        hit = sum(p == y == 1 for p, y in held)
+        return hit / sum(p for p, _ in held), hit / sum(y for _, y in held)
+
+    # precision and recall over all held-out labels: some junk (quality 0) is labelled toxic though none of its words are
+    precision, recall = rates(lambda q: True)
+    assert precision > 0.95 and recall > 0.85
+    precision, recall = rates(lambda q: q == 1)
+    assert precision > 0.97 and recall > 0.95
     model = t.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     text = "Étre bon. You are a scum and that is it, moron."
     one = spark.createDataFrame([(1, text), (2, "All is well here.")], "doc_id long, text string")
