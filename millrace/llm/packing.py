@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe
-from millrace.llm.common import slices, table
+from millrace.llm.common import give_back, slices, table
 
 
 
@@ -129,6 +129,8 @@ def pack(
                 ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
             )
             first += len(chosen) - 1
+        memo.forget()
+        give_back()
 
     kind = "array<int>" if as_array else "binary"
     src = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
