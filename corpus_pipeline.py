@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, quality_classifier, quality_rules, simhash
+from millrace.llm import jaccard, packing, quality_classifier, quality_rules
 from millrace.llm.common import id_fold, table
 from millrace.session import scratch_path
 
@@ -29,8 +29,8 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays, that with the smallest doc_id: five-word shingles, similarity 0.8 or more."""
+    return jaccard.keep_one(docs, width=5, similarity=0.8)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,219 @@
+"""Near copies by the Jaccard similarity of word shingles: every pair at or above a threshold is linked, no other is.
+
+Plan. One narrow pass makes each text's set of shingle hashes. Equal sets fold into one vertex (their smallest doc_id) before
+any comparison. Candidates come from prefix filtering, which loses no pair: in one order of all shingles, two sets of n and m
+members with similarity s or more share one of their first n - ceil(s n) + 1 and m - ceil(s m) + 1 members. The order puts
+rare shingles first, so that a passage that many texts share brings few of them together; the frequencies come from a bounded
+sample, and any order gives the same links. Set sizes and the places in the prefixes rule out more pairs, by the same bound.
+
+Candidates are compared by their exact sets in two rounds, so that a large group of near copies doesn't cost all its pairs:
+first each member of a group with one leader, then only those pairs that the first round's components leave apart.
+
+Defined cases: a text of fewer words than a shingle is one shingle, null or empty text is the empty set, equal to other empty
+ones; a null doc_id takes no part in links; repeated rows are equal sets; A-Z are lower-cased, words split at ASCII white space."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.llm.common import slices, texts
+from millrace.llm.components import components
+from millrace.llm.simhash import rows_of, shingle_hashes
+from millrace.session import materialize
+
+#: Texts in the sample that orders the shingles, and most shingles that it ranks.
+SAMPLE, RANKED = 10_000, 50_000
+#: Pairs in one batch of a group's candidates.
+PAIRS = 1 << 16
+
+
+def shingle_set(text: bytes, width: int, seed: int) -> np.ndarray:
+    """The text's distinct shingle hashes, ascending, as signed longs."""
+    return np.unique(np.array(shingle_hashes(text, width, seed), dtype=np.uint64).view(np.int64))
+
+
+def least_shared(n, m, similarity: float):
+    """Members that sets of n and m members share at least where their similarity is reached."""
+    return similarity * (n + m) / (1 + similarity) - 1e-9
+
+
+def frequent(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, rank of each): the shingles found in four sampled texts or more, the most frequent last."""
+    scale = 1 << 20
+    n = docs.count()
+    if n > SAMPLE:
+        docs = docs.where(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(scale)) < int(scale * SAMPLE / n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            sets = [shingle_set(t, width, seed) for t in texts(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], ["h"])
+
+    seen = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "h long").groupBy("h").count().where("count >= 4")
+    top = seen.orderBy(F.desc("count"), "h").limit(RANKED).select("h").toArrow().column(0).to_numpy()
+    order = np.argsort(top)
+    return top[order], (len(top) - order).astype(np.int64)
+
+
+def prefixes(
+    docs: DataFrame, ranked: tuple[np.ndarray, np.ndarray], id_col: str, text_col: str, width: int, seed: int, similarity: float
+) -> DataFrame:
+    """(doc_id, key, n, prefix): a digest and the size of the set, and its first members in the common order."""
+    known, rank = ranked
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            keys, sizes, firsts = [], [], []
+            for t in texts(batch.column(1)):
+                own = shingle_set(t, width, seed)
+                keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                sizes.append(len(own))
+                if len(known) and len(own):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    own = own[np.lexsort((own, np.where(known[at] == own, rank[at], 0)))]
+                firsts.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])
+            ends = np.cumsum([0, *map(len, firsts)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts), pa.int64()))
+            own_cols = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(own_cols, ["doc_id", "key", "n", "prefix"])
+
+    src = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    return src.mapInArrow(run, "doc_id long, key binary, n long, prefix array<long>")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first one, cut where it changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        g = whole.column(0).to_numpy()
+        cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
+        if cut:
+            yield [c.to_numpy() for c in whole.slice(0, cut).columns]
+        held = [whole.slice(cut)]
+        rows = max(rows, 2 * held[0].num_rows)
+    if held:
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns]
+
+
+def led(similarity: float) -> Callable:
+    """Rows (h, n, node, pos) sorted by h -> those of shingles that more sets share, with a leader of near size for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, n, node, pos in whole_groups(batches):
+            shared = np.zeros(len(h), dtype=bool)
+            same = h[1:] == h[:-1]
+            shared[1:] |= same
+            shared[:-1] |= same
+            at = np.flatnonzero(shared)
+            at = at[np.lexsort((node[at], n[at], h[at]))]
+            lead = np.zeros(len(at), dtype=np.int64)
+            first = -1
+            for i, (g, size) in enumerate(zip(h[at].tolist(), n[at].tolist())):
+                if first < 0 or g != group or similarity * size > most:
+                    first, group, most = i, g, size + 1e-9
+                lead[i] = first
+            of = at[lead]
+            near = np.minimum(n[at] - pos[at], n[of] - pos[of]) >= least_shared(n[at], n[of], similarity)
+            out = [h[at], n[at], node[at], pos[at], node[of], near]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), ["h", "n", "node", "pos", "lead", "near"])
+
+    return run
+
+
+def apart(similarity: float) -> Callable:
+    """Rows (h, n, node, pos, c) sorted by h -> pairs of one shingle, in different components c, that size and place allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_groups(batches):
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(columns[0])) + 1, [len(columns[0])]])
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            held = 0
+            for a, b in zip(bounds, bounds[1:]):
+                n, node, pos, c = (x[a:b] for x in columns[1:])
+                names, own, count = np.unique(c, return_inverse=True, return_counts=True)
+                if len(names) < 2:
+                    continue
+                inside = own == count.argmax()
+                order = np.argsort(n, kind="stable")
+                n, node, pos, own, inside = n[order], node[order], pos[order], own[order], inside[order]
+                low = np.searchsorted(n, similarity * n - 1e-9)
+                high = np.searchsorted(n, n / similarity + 1e-9, side="right")
+                for i in np.flatnonzero(~inside):  # the largest component's members meet the others only
+                    at = np.arange(low[i], high[i])
+                    at = at[(own[at] != own[i]) & (inside[at] | (at > i))]
+                    at = at[np.minimum(n[at] - pos[at], n[i] - pos[i]) >= least_shared(n[at], n[i], similarity)]
+                    if len(at):
+                        out.append((np.minimum(node[at], node[i]), np.maximum(node[at], node[i])))
+                        held += len(at)
+                    if held >= PAIRS:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
+                        out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
+
+    return run
+
+
+def similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' sets reach the similarity. Only texts that stand in a pair are moved."""
+    pairs = materialize(pairs.where("a <> b").distinct(), "pairs")
+    needed = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
+    src = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    held = materialize(src.join(needed, "d", "left_semi").dropDuplicates(["d", "t"]), "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes | None, np.ndarray | None] = (None, None)
+        for batch in slices(batches, "t"):
+            keep = []
+            for x, y in zip(texts(batch.column(2)), texts(batch.column(3))):
+                if x != last[0]:
+                    last = (x, shingle_set(x, width, seed))
+                p, q = last[1], shingle_set(y, width, seed)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    left = held.select(F.col("d").alias("a"), F.col("t").alias("s"))
+    right = held.select(F.col("d").alias("b"), "t")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def linked(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42, similarity: float = 0.8
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) with the smallest id of each set, and (node, root) for the nodes that aren't the smallest of their component."""
+    how = (id_col, text_col, width, seed)
+    marks = materialize(prefixes(docs.where(F.col(id_col).isNotNull()), frequent(docs, *how), *how, similarity), "prefixes")
+    vertices = materialize(marks.groupBy("key").agg(F.min("doc_id").alias("node")), "vertices")
+    ids = marks.join(vertices, "key")
+    rows = ids.where("doc_id = node").select("node", "n", F.posexplode("prefix").alias("pos", "h"))
+    rows = rows.select("h", "n", "node", F.col("pos").cast("long").alias("pos")).repartition("h").sortWithinPartitions("h")
+    shared = materialize(rows.mapInArrow(led(similarity), "h long, n long, node long, pos long, lead long, near boolean"), "shared")
+    leads = shared.where("near").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+    first = materialize(similar(leads, docs, *how, similarity), "links")
+    roots = components(first)
+    marked = shared.join(roots, "node", "left").select("h", "n", "node", "pos", F.coalesce("root", "node").alias("c"))
+    rest = marked.repartition("h").sortWithinPartitions("h").mapInArrow(apart(similarity), "a long, b long")
+    rest = rest.join(leads.distinct(), ["a", "b"], "left_anti")
+    second = similar(rest, docs, *how, similarity)
+    return ids.select("doc_id", "node"), components(first.union(second))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """One row of docs for each component, that with its smallest id; rows without id stay."""
+    ids, roots = linked(docs, id_col, **how)
+    kept = ids.where("doc_id = node").select("node").distinct().join(roots, "node", "left_anti")
+    return rows_of(docs, kept.select(F.col("node").alias(id_col)), id_col)

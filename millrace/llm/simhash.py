@@ -231,12 +231,17 @@ def near_duplicates(
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
 
 
+def rows_of(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
+    """One row of docs for each id in kept, and the rows without id."""
+    known = docs.where(F.col(id_col).isNotNull())
+    return known.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of docs whose id stands for its component (the smallest id); one row for each such id; rows without id stay."""
     found = near_duplicates(docs, id_col, **how)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    known = docs.where(F.col(id_col).isNotNull())
-    return known.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+    return rows_of(docs, kept, id_col)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,81 @@
+import numpy as np
+
+import corpus_pipeline as p
+from millrace.llm import jaccard
+
+
+def shingles(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in (text or "")).encode().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_kept(rows):
+    """Ids that stay when all pairs of Jaccard similarity 0.8 or more are linked."""
+    sets = {d: shingles(t) for d, t in rows.items()}
+    root = {d: d for d in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(rows)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            a, b = sets[i], sets[j]
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {d for d in ids if find(d) == d}
+
+
+def made():
+    """Copies with up to 12 % of words changed, chains of edits, a large group of near copies, a passage that many share."""
+    rng = np.random.default_rng(5)
+    word = lambda k: [f"w{x}" for x in rng.integers(0, 3000, k)]
+    out = []
+    for n in (6, 20, 60, 112, 300):
+        for _ in range(12):
+            base = word(n)
+            out.append(base)
+            for share in (0.005, 0.01, 0.02, 0.03, 0.05, 0.12):
+                copy = list(base)
+                for i in rng.integers(0, n, max(1, int(share * n))):
+                    copy[i] = f"x{rng.integers(1e6)}"
+                out.append(copy)
+            out.append(base[: int(n * 0.9)])
+    base = word(150)
+    for _ in range(120):
+        copy = list(base)
+        for i in rng.integers(0, 150, rng.integers(1, 9)):
+            copy[i] = f"y{rng.integers(1e6)}"
+        out.append(copy)
+    passage = word(40)
+    out += [passage + word(int(k)) for k in rng.integers(5, 60, 120)]
+    return {int(i): " ".join(w) for i, w in zip(rng.permutation(len(out)), out)}
+
+
+def test_stage_links_what_brute_force_links(spark):
+    rows = made()
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    out = p.near_duplicates_stage(spark, docs, "")
+    want = brute_kept(rows)
+    assert len(want) < len(rows) - 100
+    assert {r.doc_id for r in out.collect()} == want
+
+
+def test_order_of_shingles_changes_nothing(spark, monkeypatch):
+    rows = dict(list(made().items())[::2])
+    monkeypatch.setattr(jaccard, "SAMPLE", 50)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == brute_kept(rows)
+
+
+def test_edge_rows(spark):
+    docs = spark.createDataFrame(
+        [(5, None), (3, ""), (9, " \t\n"), (7, "ONE two"), (1, "one TWO"), (None, "one two"), (7, "ONE two"), (8, "Word " * 50_000), (2, "word " * 9)],
+        "doc_id long, text string",
+    )
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3]
+    assert jaccard.keep_one(docs.where("false")).count() == 0
