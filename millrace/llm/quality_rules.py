@@ -137,6 +137,17 @@ def choose(good_fit: np.ndarray, bad_fit: np.ndarray, good_hold: np.ndarray, alp
     return out
 
 
+def own_strata(sizes: dict[str | None, int], rate: float, delta: float) -> tuple[list[str | None], float]:
+    """The strata with cutoffs of their own, and the level of each test: as many, by good holdout documents, as that level
+    still lets certify a cutoff without losses. The others stay in the pool."""
+    order = sorted(sizes, key=lambda s: -sizes[s])
+    while True:
+        level = delta / (len(RULES) * (len(order) + 1))
+        if not order or certified(0, sizes[order[-1]], rate, level):
+            return order, level
+        order.pop()
+
+
 def fit(
     measures: DataFrame,
     labels: DataFrame,
@@ -159,8 +170,7 @@ def fit(
     hist = bins.groupBy("s", "good", "half", "rule", F.least(F.floor(F.col("x") * BINS), F.lit(BINS)).alias("bin")).count()
     size = joined.where(F.col("good") == 1).groupBy("s").agg(F.sum((half == 1).cast("long")).alias("n"))
     least = math.ceil(math.log(delta / len(RULES)) / math.log1p(-rate))
-    large = [r.s for r in size.where(F.col("n") >= least).collect()]
-    level = delta / (len(RULES) * (len(large) + 1))
+    large, level = own_strata({r.s: r.n for r in size.where(F.col("n") >= least).collect()}, rate, delta)
     known = F.lit(False)
     for s in large:
         known = known | F.col("s").eqNullSafe(F.lit(s))

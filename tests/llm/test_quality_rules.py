@@ -75,3 +75,20 @@ def test_edge_rows(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 3]
     assert q.judged(docs.where("false"), labels.where("false")).count() == 0
     assert q.judged(docs, labels.where("false")).where("kept").count() == 3
+
+
+def test_mid_size_language_gets_cutoffs(spark, tmp_path):
+    """Good holdout documents enough for the pool's level, too few for a level shared with an own stratum."""
+    good = [(i, " ".join(f"w{i}x{k}" for k in range(60)), "en", 1) for i in range(3700)]
+    bad = [(i, " ".join(f"#$%{i}x{k}" for k in range(60)), "en", 0) for i in range(3700, 4000)]
+    rows = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, quality int")
+    rows.drop("quality").write.parquet(f"{tmp_path}/documents.parquet")
+    rows.select("doc_id", "quality").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in QUERIES["op4_quality_rules"](spark, str(tmp_path)).where("kept").collect()}
+    assert kept == set(range(3700))
+
+
+def test_own_strata_can_certify():
+    own, level = q.own_strata({"a": 5000, "b": 2200, "c": 2000, None: 1800}, 0.02 / 7, 0.05)
+    assert own == ["a", "b"] and level == 0.05 / 21
+    assert q.own_strata({"a": 1900}, 0.02 / 7, 0.05) == ([], 0.05 / 7)
