@@ -3,13 +3,13 @@
 softmax(q . k * scale) . v over the keys of each query. Queries and keys of a head are cut into tiles by position; each pair
 of tiles that the mask admits meets in one task, which returns one partial state for each query: the largest score, the sum
 of weights and the weighted vectors, both relative to that largest score. Partial states of a query merge by rescaling, so
-no task ever holds all keys of a query, and the merge is an ordinary grouped sum."""
+no task ever holds all keys of a query. A query has one partial state for each tile of keys; the merge gathers and folds them."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -71,9 +71,13 @@ def merge(parts: DataFrame) -> DataFrame:
     return merged.select("head", "pos", F.transform("s.acc", lambda y: y / F.col("s.total")).alias("out"))
 
 
+def gap_stats(x: Column, y: Column) -> list[Column]:
+    """Aggregates: largest, mean and mean relative difference of two columns of one frame."""
+    gap = F.abs(x - y)
+    return [F.max(gap).alias("max_error"), F.avg(gap).alias("mean_error"), F.avg(gap / F.greatest(F.abs(y), F.lit(1e-6))).alias("mean_relative_error")]
+
+
 def error_stats(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Largest, mean and mean relative difference of two columns joined by keys."""
-    x, y = F.col("x"), F.col("y")
+    """gap_stats() of two frames' columns, joined by keys."""
     both = a.select(*keys, F.col(value).alias("x")).join(b.select(*keys, F.col(value).alias("y")), keys)
-    gap = F.abs(x - y)
-    return both.agg(F.max(gap).alias("max_error"), F.avg(gap).alias("mean_error"), F.avg(gap / F.greatest(F.abs(y), F.lit(1e-6))).alias("mean_relative_error"))
+    return both.agg(*gap_stats(F.col("x"), F.col("y")))

@@ -22,25 +22,40 @@ from millrace.operators.position import dense
 class Remote:
     """A function of keyword arguments. call() runs it once for each row of a table of arguments."""
 
-    def __init__(self, fn: Callable[..., Any], returns: T.DataType | str, partitions: int | None = None, env: dict[str, str] | None = None):
-        self.fn, self.returns, self.partitions, self.env = fn, returns, partitions, env
-
-    def options(self, partitions: int | None = None, env: dict[str, str] | None = None) -> Remote:
+    def __init__(
+        self, fn: Callable[..., Any], returns: T.DataType | str, partitions: int | None = None, env: dict[str, str] | None = None,
+        cwd: str | None = None, python_path: list[str] | None = None, resources: Any = None,
+    ):
+        """env, cwd, python_path: variables, working directory and more places for imports while a task runs the function.
+        resources: a pyspark.resource.ResourceProfile for the calls (Spark schedules by it on clusters, not on local masters)."""
+        self.fn, self.returns = fn, returns
+        self.settings = {"partitions": partitions, "env": env, "cwd": cwd, "python_path": python_path, "resources": resources}
+
+    def options(self, **changes: Any) -> Remote:
         """A copy with these options; None keeps the old one."""
-        return Remote(self.fn, self.returns, self.partitions if partitions is None else partitions, self.env if env is None else env)
+        unknown = set(changes) - set(self.settings)
+        if unknown:
+            raise TypeError(f"no options {sorted(unknown)}")
+        return Remote(self.fn, self.returns, **{**self.settings, **{k: v for k, v in changes.items() if v is not None}})
 
     def call(self, arguments: DataFrame, name: str = "result") -> DataFrame:
         """arguments with one more column, the result. Lazy: nothing runs before an action."""
         kind = self.returns if isinstance(self.returns, T.DataType) else T._parse_datatype_string(self.returns)
-        rows = arguments.repartition(self.partitions) if self.partitions else arguments
+        rows = arguments.repartition(self.settings["partitions"]) if self.settings["partitions"] else arguments
         schema = T.StructType([*arguments.schema.fields, T.StructField(name, kind)])
-        arrow, fn, env = to_arrow_schema(schema), self.fn, self.env or {}
+        arrow, fn, env = to_arrow_schema(schema), self.fn, self.settings["env"] or {}
+        cwd, python_path = self.settings["cwd"], list(self.settings["python_path"] or [])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import os
+            import sys
 
             old = {k: os.environ.get(k) for k in env}
+            here, paths = os.getcwd(), list(sys.path)
             os.environ.update(env)
+            sys.path[:0] = python_path
+            if cwd:
+                os.chdir(cwd)
             try:
                 for batch in batches:
                     out = [coerce(fn(**r), kind) for r in batch.to_pylist()]
@@ -48,8 +63,10 @@ class Remote:
             finally:
                 for k, v in old.items():
                     os.environ.pop(k, None) if v is None else os.environ.update({k: v})
+                sys.path[:] = paths
+                os.chdir(here)
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema, profile=self.settings["resources"])
 
 
 def remote(returns: T.DataType | str, **options) -> Callable[[Callable], Remote]:
@@ -121,8 +138,12 @@ def pack(tasks: DataFrame, nodes: list[str], group: str, order: str) -> DataFram
 
 
 def spread(tasks: DataFrame, nodes: list[str], group: str, bundle: str) -> DataFrame:
-    """Bundles of a placement group on different nodes while there are any: bundle i on node i, in turn."""
-    return tasks.withColumn("owner", _pick(nodes, F.pmod(F.col(bundle), F.lit(len(nodes)))))
+    """Bundles of a placement group on different nodes while there are any: a group's bundles, in their order, on the nodes in turn.
+
+    Where earlier tasks, pins or needs decide, use scheduling.place."""
+    used = tasks.select(group, bundle).distinct()
+    own = used.withColumn("owner", _pick(nodes, (F.expr(f"row_number() OVER (PARTITION BY `{group}` ORDER BY `{bundle}`)") - 1) % len(nodes)))
+    return tasks.join(own, [group, bundle])
 
 
 def eligible(tasks: DataFrame, nodes: DataFrame, task: str, node: str, needs: dict[str, str], pin: str | None = None) -> DataFrame:

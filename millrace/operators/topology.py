@@ -45,14 +45,13 @@ def local_ranks(ranks: DataFrame) -> DataFrame:
     return ranks.groupBy("rank").pivot("mode", list(MODES)).agg(F.first("local_rank"))
 
 
-def ranks_to_device(ranks: DataFrame, own: int, **places: int) -> DataFrame:
-    """The rank whose places are those of `own`, but for the given ones (such as pipeline=1)."""
+def ranks_to_device(ranks: DataFrame, own: int | None = None, **places: int) -> DataFrame:
+    """(rank, device): to each rank, or to `own` alone, the rank whose places are the same but for the given ones (pipeline=1)."""
     table = local_ranks(ranks)
-    mine = table.where(F.col("rank") == own).drop("rank")
-    for mode, place in places.items():
-        mine = mine.withColumn(mode, F.lit(place).cast("long"))
     modes = [m for m in MODES if m != "model"]
-    return table.join(mine.select(*modes), modes, "left_semi").select("rank")
+    mine = table if own is None else table.where(F.col("rank") == own)
+    wanted = mine.select("rank", *(F.lit(places[m]).cast("long").alias(m) if m in places else F.col(m) for m in modes))
+    return wanted.join(table.select(F.col("rank").alias("device"), *modes), modes).select("rank", "device")
 
 
 def seeds(ranks: DataFrame, seed: int) -> DataFrame:

@@ -7,13 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.dataset import Dataset, load_dataset
 from millrace.functions import numeric
 from millrace.functions.text import or_empty, strip, tokens
 from millrace.operators import attention as att
-from millrace.operators import calls, topology
+from millrace.operators import calls, scheduling, topology
 from millrace.operators.position import POS, dense
+from millrace.session import scratch_path
+from millrace.sources import readers, writers
 
 NODES = ["A", "B", "C"]
 QUERIES = {}
@@ -227,10 +230,8 @@ def mean_reward(spark, sf_dir):
     SELECT round(max(abs(l_extendedprice - x)), 6) AS max_error, round(avg(abs(l_extendedprice - x)), 6) AS mean_error, round(avg(abs(l_extendedprice - x) / greatest(abs(x), 1e-6)), 6) AS mean_relative_error
     FROM (SELECT l_extendedprice, l_extendedprice * (1 - l_discount) AS x FROM lineitem)""")
 def error_stats(spark, sf_dir):
-    x, y = F.col("l_extendedprice"), F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    gap = F.abs(x - y)
-    rounded = lambda c, name: F.round(c, 6).alias(name)
-    return _table(spark, sf_dir, "lineitem").agg(rounded(F.max(gap), "max_error"), rounded(F.avg(gap), "mean_error"), rounded(F.avg(gap / F.greatest(F.abs(y), F.lit(1e-6))), "mean_relative_error"))
+    out = _table(spark, sf_dir, "lineitem").agg(*att.gap_stats(F.col("l_extendedprice"), F.col("l_extendedprice") * (1 - F.col("l_discount"))))
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
 @query("SELECT c_custkey, round(1 / (1 + exp(-c_acctbal / 1000)), 8) AS s, round(greatest(-1.0, least(1.0, c_acctbal / 5000)), 8) AS c FROM customer")
@@ -318,10 +319,88 @@ def pack_owner(spark, sf_dir):
     return calls.pack(tasks, NODES, "o_custkey", "o_orderkey")
 
 
-@query(f"SELECT o_orderkey, o_custkey, {_OWNER.format(at='o_orderkey')} AS owner FROM orders")
+@query(f"""
+    SELECT o_orderkey, o_custkey, {_OWNER.format(at='(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 7) - 1)')} AS owner FROM orders""")
 def spread_owner(spark, sf_dir):
-    tasks = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return calls.spread(tasks, NODES, "o_custkey", "o_orderkey")
+    tasks = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 7).alias("bundle"))
+    return calls.spread(tasks, NODES, "o_custkey", "bundle").select("o_orderkey", "o_custkey", "owner")
+
+
+#: One row for each task placed so far, with the session's state: cursor, and the node of each of four bundles (-1: none).
+#: {rule}: the candidates c among the nodes `fit` that a task's needs and pin leave.
+_PLACED = """
+    WITH RECURSIVE t AS (
+        SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, 1 + o_orderkey % 5 AS need,
+            CASE WHEN o_orderkey % 11 = 0 THEN 1 END AS pin, {bundle} AS bundle FROM orders
+    ), r AS (
+        SELECT DISTINCT o_custkey, CAST(NULL AS BIGINT) AS o_orderkey, 0::BIGINT AS n, 0 AS cur, [-1, -1, -1, -1] AS taken, CAST(NULL AS INTEGER) AS own FROM orders
+        UNION ALL
+        SELECT o_custkey, o_orderkey, n,
+            CASE WHEN len(c) > 1 THEN (own + 1) % 3 ELSE cur END,
+            CASE WHEN own IS NULL OR pin IS NOT NULL OR bundle IS NULL OR taken[bundle + 1] >= 0 THEN taken ELSE list_transform(range(4), lambda i: CASE WHEN i = bundle THEN own ELSE taken[i + 1] END) END,
+            own
+        FROM (
+            SELECT *, CAST((cur + list_min(list_transform(c, lambda i: (i - cur + 3) % 3))) % 3 AS INTEGER) AS own FROM (
+                SELECT *, {rule} AS c FROM (
+                    SELECT t.*, r.cur, r.taken, list_filter(list_filter([0, 1, 2], lambda i: need <= 2 + i), lambda i: coalesce(i = pin, true)) AS fit
+                    FROM r JOIN t ON t.o_custkey = r.o_custkey AND t.n = r.n + 1)))
+    )
+    SELECT o_custkey, o_orderkey, ['A', 'B', 'C'][own + 1] AS owner FROM r WHERE n > 0"""
+_STUCK = "CASE WHEN pin IS NOT NULL THEN fit WHEN taken[bundle + 1] >= 0 THEN list_filter(fit, lambda i: i = taken[bundle + 1]) ELSE {new} END"
+_UNUSED = "list_filter(fit, lambda i: NOT list_contains(taken, i))"
+
+
+def _placed(spark, sf_dir, strategy=None):
+    """Orders as tasks, a customer's orders as a session: nodes of 2, 3 and 4 units, needs of 1 to 5, some tasks pinned to B."""
+    k = F.col("o_orderkey")
+    tasks = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (1 + k % 5).alias("need"), F.when(k % 11 == 0, F.lit("B")).alias("pin"), F.lit("g").alias("group"), (k % 4).alias("bundle"))
+    nodes = tuple(scheduling.Node(name, {"unit": 2 + i}) for i, name in enumerate(NODES))
+    cluster = scheduling.Cluster(nodes, "round_robin", {"g": strategy} if strategy else {})
+    return scheduling.place(tasks, cluster, "o_custkey", "o_orderkey", {"unit": "need"}, "pin", "group" if strategy else None, "bundle")
+
+
+@query(_PLACED.format(bundle="NULL::INTEGER", rule="fit"))
+def placed_by_cursor(spark, sf_dir):
+    return _placed(spark, sf_dir)
+
+
+@query(_PLACED.format(bundle="0", rule=_STUCK.format(new="fit")))
+def placed_packed(spark, sf_dir):
+    return _placed(spark, sf_dir, scheduling.PACK)
+
+
+@query(_PLACED.format(bundle="CAST(o_orderkey % 4 AS INTEGER)", rule=_STUCK.format(new=f"CASE WHEN len({_UNUSED}) > 0 THEN {_UNUSED} ELSE fit END")))
+def placed_spread(spark, sf_dir):
+    return _placed(spark, sf_dir, scheduling.SPREAD)
+
+
+class _Account:
+    """An actor with several methods: a balance that starts with the customer's number."""
+
+    def __init__(self, start: int):
+        self.balance = self.deposits = start
+
+    def add(self, amount: int) -> int:
+        self.balance += amount
+        return self.balance
+
+    def reset(self) -> int:
+        self.balance = 0
+        return self.balance
+
+    def peek(self) -> int:
+        return self.balance
+
+
+@query("""
+    WITH t AS (SELECT user_id, event_id, event_id % 9 AS m FROM events),
+    s AS (SELECT *, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS era FROM t)
+    SELECT user_id, event_id, CAST(CASE WHEN era = 0 THEN user_id ELSE 0 END + sum(CASE WHEN m BETWEEN 1 AND 6 THEN m ELSE 0 END) OVER (PARTITION BY user_id, era ORDER BY event_id) AS BIGINT) AS result FROM s""")
+def actor_methods(spark, sf_dir):
+    """A user's events as calls of one actor's methods: every ninth id resets, two of nine look, the others add."""
+    m = F.col("event_id") % 9
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_id", F.when(m == 0, "reset").when(m >= 7, "peek").otherwise("add").alias("method"), F.when((m > 0) & (m < 7), m).alias("amount"))
+    return scheduling.Actor(_Account, "bigint").call(rows, "user_id", "event_id", "method", ["amount"], ["user_id"])
 
 
 @query(f"SELECT owner, count(*) AS n FROM (SELECT {_OWNER.format(at='(row_number() OVER (ORDER BY o_orderkey) - 1)')} AS owner FROM orders) GROUP BY owner")
@@ -372,6 +451,122 @@ def mode_seeds(spark, sf_dir):
 @query("SELECT r AS rank, (r // 8) * 8 + 3 * 2 + r % 2 AS device FROM range(16) t(r)")
 def ranks_to_device(spark, sf_dir):
     """The rank in the last pipeline stage that shares each rank's other places."""
-    ranks = topology.local_ranks(topology.groups(spark, 16, 2, 4, 2))
-    last = ranks.where("pipeline = 3").select("data", "tensor", F.col("rank").alias("device"))
-    return ranks.join(last, ["data", "tensor"]).select("rank", "device")
+    return topology.ranks_to_device(topology.groups(spark, 16, 2, 4, 2), pipeline=3)
+
+
+@query(f"SELECT rank, CAST(max(CASE WHEN mode = 'data' THEN local_rank END) AS BIGINT) AS data, CAST(max(CASE WHEN mode = 'model' THEN local_rank END) AS BIGINT) AS model, CAST(max(CASE WHEN mode = 'tensor' THEN local_rank END) AS BIGINT) AS tensor, CAST(max(CASE WHEN mode = 'pipeline' THEN local_rank END) AS BIGINT) AS pipeline FROM ({_GROUPS}) GROUP BY rank")
+def topology_places(spark, sf_dir):
+    """Every rank's places, gathered."""
+    return topology.local_ranks(topology.groups(spark, 16, 2, 4, 2))
+
+
+# ---- sources and sinks: rows of a driver table are written to the scratch folder and read back
+
+
+def _nested(spark, sf_dir) -> Dataset:
+    """Suppliers with a struct, a list and nulls."""
+    rows = _table(spark, sf_dir, "supplier").selectExpr(
+        f"array(s_suppkey) AS `{POS}`", "struct(s_suppkey, s_name) AS who",
+        "IF(s_nationkey % 3 = 0, NULL, array(bigint(s_nationkey), s_nationkey + 1L)) AS places", "IF(s_nationkey % 2 = 0, NULL, s_acctbal) AS balance",
+    )
+    return Dataset(rows)
+
+
+_NESTED_SQL = """
+    SELECT s_suppkey, s_name, CASE WHEN s_nationkey % 3 <> 0 THEN CAST(2 AS INTEGER) END AS n_places, CASE WHEN s_nationkey % 3 <> 0 THEN CAST(s_nationkey AS BIGINT) END AS first_place,
+        CASE WHEN s_nationkey % 3 <> 0 THEN CAST(s_nationkey + 1 AS BIGINT) END AS last_place, CASE WHEN s_nationkey % 2 <> 0 THEN s_acctbal END AS balance FROM supplier"""
+
+
+def _flat(ds: Dataset) -> DataFrame:
+    at = lambda i: F.get("places", F.lit(i))
+    return ds.frame.select("who.s_suppkey", "who.s_name", F.when(F.col("places").isNotNull(), F.size("places")).alias("n_places"), at(0).alias("first_place"), at(1).alias("last_place"), "balance")
+
+
+def _read_back(spark, ds: Dataset, suffix: str, **how) -> Dataset:
+    path = scratch_path(spark, "round-trip") + suffix
+    ds.to_json(path, **how) if how else ds.save_to_disk(path)
+    return load_dataset(spark, path)
+
+
+@query(_NESTED_SQL)
+def json_lines_round_trip(spark, sf_dir):
+    return _flat(_read_back(spark, _nested(spark, sf_dir), ".jsonl", lines=True))
+
+
+@query(_NESTED_SQL)
+def json_array_round_trip(spark, sf_dir):
+    return _flat(_read_back(spark, _nested(spark, sf_dir), ".json", lines=False))
+
+
+@query(_NESTED_SQL)
+def container_round_trip(spark, sf_dir):
+    return _flat(_read_back(spark, _nested(spark, sf_dir), ".nano"))
+
+
+@query(_NESTED_SQL)
+def parquet_round_trip(spark, sf_dir):
+    return _flat(_read_back(spark, _nested(spark, sf_dir), ".parquet"))
+
+
+@query(f"SELECT balance FROM ({_NESTED_SQL})")
+def container_one_column(spark, sf_dir):
+    return _read_back(spark, _nested(spark, sf_dir), ".nano").select_columns(["balance"]).frame
+
+
+@query("SELECT n_name FROM nation")
+def json_lines_one_field(spark, sf_dir):
+    path = scratch_path(spark, "one-field") + ".jsonl"
+    _data(spark, sf_dir, "nation", "n_nationkey").to_json(path)
+    return readers.read_field(spark, path, "n_name")
+
+
+@query("SELECT CASE WHEN r_regionkey <> 2 THEN CAST(r_regionkey AS BIGINT) END AS k, CASE WHEN r_regionkey > 2 THEN r_name END AS later, CAST(CASE WHEN r_regionkey <> 2 THEN CASE WHEN r_regionkey = 3 THEN 1.5 ELSE r_regionkey END END AS DOUBLE) AS x FROM region")
+def json_lines_of_odd_rows(spark, sf_dir):
+    """A null line, blank lines, a key that comes late, whole numbers among fractions."""
+    k = F.col("r_regionkey")
+    line = F.when(k == 2, "null").when(k < 2, F.format_string('{"k": %d, "x": %d}\n  ', k, k)).when(k == 3, F.format_string('{"k": 3, "x": 1.5, "later": "%s"}', "r_name")).otherwise(F.format_string('{"later": "%s", "k": %d, "x": %d}', "r_name", k, k))
+    path = scratch_path(spark, "odd-rows") + ".jsonl"
+    _table(spark, sf_dir, "region").orderBy("r_regionkey").select(line.alias("value")).coalesce(1).write.text(path)
+    return load_dataset(spark, path).frame
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def rows_of_the_driver(spark, sf_dir):
+    """All rows of a fixed table to the driver, in order, and back."""
+    return Dataset.from_rows(spark, _data(spark, sf_dir, "nation", "n_nationkey").to_dict(), strict_keys=True).frame
+
+
+@query("SELECT n_name, n_regionkey FROM nation")
+def columns_of_the_driver(spark, sf_dir):
+    table = _data(spark, sf_dir, "nation", "n_nationkey").select_columns(["n_name", "n_regionkey"]).to_arrow()
+    return Dataset.from_columns(spark, table.to_pydict(), {"n_regionkey": T.IntegerType()}).frame
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 20")
+def head_rows(spark, sf_dir):
+    return Dataset.from_rows(spark, _data(spark, sf_dir, "documents", "doc_id").select_columns(["doc_id", "lang"]).head(20)).frame
+
+
+@query("SELECT s_name, s_acctbal FROM supplier")
+def columns_by_index_and_name(spark, sf_dir):
+    ds = _data(spark, sf_dir, "supplier")
+    return ds.frame.select(ds.column(1), ds.column("s_acctbal"))
+
+
+@query("SELECT * FROM (VALUES (0, 's_suppkey', 'bigint'), (1, 's_name', 'string'), (2, 's_nationkey', 'int'), (3, 's_acctbal', 'double')) AS t(position, name, type), (SELECT count(*) AS n_rows FROM supplier)")
+def described(spark, sf_dir):
+    ds = _data(spark, sf_dir, "supplier")
+    rows = [(ds.index(f.name), f.name, f.dataType.simpleString(), len(ds)) for f in ds.schema]
+    return spark.createDataFrame(rows, "position int, name string, type string, n_rows long")
+
+
+@query("SELECT * FROM (VALUES ('r_regionkey', true), ('r_name', true)) AS t(name, stored)")
+def column_sizes(spark, sf_dir):
+    return spark.createDataFrame([(name, size > 0) for name, size in writers.column_bytes(_path(sf_dir, "region")).items()], "name string, stored boolean")
+
+
+@query("SELECT count(*) AS n, count(*) AS n_distinct, CAST(12 AS INTEGER) AS shortest, CAST(12 AS INTEGER) AS longest FROM orders")
+def short_ids(spark, sf_dir):
+    i = numeric.short_id("obj-")
+    rows = _table(spark, sf_dir, "orders").select(i.alias("i"))
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("i").alias("n_distinct"), F.min(F.length("i")).alias("shortest"), F.max(F.length("i")).alias("longest"))

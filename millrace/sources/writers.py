@@ -21,16 +21,25 @@ def write_jsonl(df: DataFrame, path: str, single: bool = False) -> None:
 
 
 def write_json(df: DataFrame, path: str, indent: int = 2) -> None:
-    """One JSON array in one local file: rows stream through the driver one by one, never all at once."""
+    """One JSON array in one file, on any file system that Spark writes: rows stream through the driver in pieces of a megabyte,
+    never all at once."""
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     rows = df.orderBy(POS).select(F.to_json(F.struct(*[c for c in df.columns if c != POS]), {"ignoreNullFields": "false"}).alias("r"))
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        first = True
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        held, size, first = ["["], 1, True
         for row in rows.toLocalIterator(prefetchPartitions=True):
             text = json.dumps(json.loads(row.r), ensure_ascii=False, indent=indent)
-            f.write(("\n" if first else ",\n") + "\n".join(" " * indent + x for x in text.split("\n")))
-            first = False
-        f.write("]" if first else "\n]")
+            held.append(("\n" if first else ",\n") + "\n".join(" " * indent + x for x in text.split("\n")))
+            size, first = size + len(held[-1]), False
+            if size > 1 << 20:
+                out.write(bytearray("".join(held).encode()))
+                held, size = [], 0
+        held.append("]" if first else "\n]")
+        out.write(bytearray("".join(held).encode()))
+    finally:
+        out.close()
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

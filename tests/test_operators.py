@@ -50,7 +50,7 @@ def test_topology(spark, world, data, pipeline, tensor):
     place = {(r.rank, r.mode): r.local_rank for r in rows}
     assert all(s.data_seed == 5 and s.tensor_seed == 5 + place[i, "tensor"] + 1024 * place[i, "pipeline"] for i, s in seeds.items())
     to = topology.ranks_to_device(ranks, 0, pipeline=pipeline - 1).collect()
-    assert [place[r.rank, "pipeline"] for r in to] == [pipeline - 1]
+    assert [(r.rank, place[r.device, "pipeline"]) for r in to] == [(0, pipeline - 1)]
     with pytest.raises(ValueError):
         topology.check_world(world + 1, data, pipeline, tensor)
 
@@ -93,6 +93,8 @@ def test_placement(spark):
     assert owners(calls.fifo(tasks, ["A", "B"])) == ["A"] * 8
     assert owners(calls.pack(tasks, ["A", "B"], "grp", "seq")) == list("AAAABBBB")
     assert owners(calls.spread(tasks, ["A", "B"], "grp", "bundle")) == list("ABABABAB")
+    odd = spark.createDataFrame([(0, 2, 0), (1, 4, 0), (2, 2, 0), (3, 4, 1)], "seq long, bundle long, grp long")
+    assert owners(calls.spread(odd, ["A", "B"], "grp", "bundle")) == list("ABAA")  # bundles of one group don't share a node
     hist = {r.owner: r.n for r in calls.owner_histogram(calls.round_robin(tasks, ["A", "B", "C"], "seq")).collect()}
     assert hist == {"A": 3, "B": 3, "C": 2}
     nodes = spark.createDataFrame([("x", 1.0, 0.0), ("y", 4.0, 1.0)], "node string, cpu double, gpu double")
@@ -101,6 +103,68 @@ def test_placement(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "x"), (1, "y"), (2, "y"), (3, "y")]
 
 
+def test_placer():
+    from millrace.operators.scheduling import PACK, SPREAD, Cluster, Node, Placer
+
+    two = (Node("A", {"cpu": 1}), Node("B", {"cpu": 1}))
+    runs = lambda cluster, tasks: (lambda p: [p.place(*t) for t in tasks])(Placer(cluster))
+    one = {"cpu": 1}
+    assert runs(Cluster(two), [(one,)] * 8) == list("ABABABAB")
+    assert runs(Cluster(two, "fifo"), [(one,)] * 8) == ["A"] * 8
+    assert len(set(runs(Cluster(two, groups={"g": PACK}), [(one, None, "g", i % 2) for i in range(6)]))) == 1
+    assert runs(Cluster(two, groups={"g": SPREAD}), [(one, None, "g", i % 2) for i in range(8)]) == list("ABABABAB")
+    assert runs(Cluster(two), [(one,), (one, "B"), (one,), ({"cpu": 2},), ({"gpu": 1},), (one,)]) == ["A", "B", "B", None, None, "A"]
+    three = (Node("A", {"cpu": 4}), Node("B", {"cpu": 2}), Node("C", {"cpu": 4}))
+    assert runs(Cluster(three), [({"cpu": 3},), ({"cpu": 3},), ({"cpu": 1},), ({"cpu": 3},)]) == ["A", "C", "A", "C"]
+    assert runs(Cluster(three, groups={"g": PACK}), [(one, None, "g"), ({"cpu": 9}, None, "g"), (one, None, "g"), (one,)]) == ["A", None, "A", "B"]
+    with pytest.raises(ValueError):
+        Placer(Cluster(two)).place(one, None, "unknown")
+    with pytest.raises(ValueError):
+        Cluster(two, "any")
+
+
+def test_queue(spark):
+    from millrace.operators.scheduling import Cluster, Node, Queue
+
+    args = spark.createDataFrame([(i,) for i in range(3)], "a long")
+    square = calls.remote("bigint")(lambda a: a * a)
+    queue = Queue(Cluster((Node("A", {"cpu": 1}), Node("B", {"cpu": 4}))))
+    assert [queue.submit(square, args, {"cpu": n}) for n in (1, 9, 2)] == [0, 1, 2]
+    done = queue.drain()
+    assert [{(r.a, r.result, r.owner) for r in d.collect()} for d in done] == [{(i, i * i, o) for i in range(3)} for o in "AB"]
+    assert len(queue) == 1 and queue.drain() == []
+
+
+def test_actor_methods(spark):
+    from millrace.operators.scheduling import Actor
+
+    class Counter:
+        def __init__(self, start=0):
+            self.n = start
+
+        def add(self, k=1):
+            self.n += k
+            return self.n
+
+        def get(self):
+            return self.n
+
+    rows = [("c", 1, "add", 3, 10), ("c", 2, "add", 5, None), ("d", 1, "add", None, None), ("c", 3, "get", None, 7), ("d", 2, "get", None, None)]
+    df = spark.createDataFrame(rows, "actor string, seq long, method string, k long, start long").repartition(3)
+    out = Actor(Counter, "bigint").call(df, "actor", "seq", "method", ["k"], ["start"])
+    assert sorted((r.actor, r.seq, r.result) for r in out.collect()) == [("c", 1, 13), ("c", 2, 18), ("c", 3, 18), ("d", 1, 1), ("d", 2, 1)]
+
+
+def test_runtime_settings(spark, tmp_path):
+    (tmp_path / "own_module_of_a_test.py").write_text("x = 5")
+    args = spark.range(1).select(F.lit(1).alias("a"))
+    fn = calls.Remote(lambda a: [str(__import__("own_module_of_a_test").x), __import__("os").getcwd()], "array<string>")
+    got = fn.options(cwd=str(tmp_path), python_path=[str(tmp_path)]).call(args).first().result
+    assert got == ["5", str(tmp_path)]
+    with pytest.raises(TypeError):
+        fn.options(nothing=1)
+
+
 def test_expressions(spark):
     pad = " \t\n　\x1c x y \r\x85"
     df = spark.createDataFrame([(pad, 0.5), (None, -40.0)], "t string, x double")
