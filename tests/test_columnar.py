@@ -7,17 +7,17 @@ import pytest
 
 from millrace.dataset import Dataset, load_dataset
 from millrace.sources import columnar
-from tests.test_dataset import filled, nested
+from tests.test_dataset import filled, parcels
 
 
 def test_round_trip(spark, tmp_path):
-    rows = nested(200, null_rows=True)
+    rows = parcels(200, gaps=True)
     path = str(tmp_path / "a.nano")
     Dataset.from_rows(spark, rows).save_to_disk(path)
     ds = load_dataset(spark, path)
     assert ds.to_dict() == filled(rows)
-    assert columnar.read_columnar(spark, path, ["name"]).columns == ["__pos", "name"]
-    assert [r.name for r in columnar.read_columnar(spark, path, ["name"]).orderBy("__pos").collect()] == [r["name"] for r in filled(rows)]
+    assert columnar.read_columnar(spark, path, ["town"]).columns == ["__pos", "town"]
+    assert [r.town for r in columnar.read_columnar(spark, path, ["town"]).orderBy("__pos").collect()] == [r["town"] for r in filled(rows)]
     with pytest.raises(FileExistsError):
         ds.save_to_disk(path)
 
