@@ -100,6 +100,12 @@ def estimate(query: np.ndarray, code: np.ndarray, own: np.ndarray, rng: np.rando
     return signed / np.sqrt(dim) / own[None, :]
 
 
+def distances(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances of one vector to the rows of v; squares are added in the order of the coordinates."""
+    d = q - v
+    return np.sqrt(np.cumsum(d * d, axis=1)[:, -1])
+
+
 def nearest_in_block(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, code: np.ndarray, norm: np.ndarray, own: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, eps: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, distance) of at most k rows of the block for each query."""
     dim = v.shape[1]
@@ -123,14 +129,12 @@ def nearest_in_block(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndar
             near = first[i][other[i, first[i]]]
             if not len(near):
                 continue
-            d = q[a + i] - v[near]
-            d = np.sqrt((d * d).sum(1))
+            d = distances(q[a + i], v[near])
             if len(near) == k:
                 worst = d.max()
                 more = np.flatnonzero((lower[i] <= worst * worst * (1 + 1e-9)) & other[i])
                 near = np.union1d(near, more)
-                d = q[a + i] - v[near]
-                d = np.sqrt((d * d).sum(1))
+                d = distances(q[a + i], v[near])
             best = np.lexsort((ids[near], d))[:k]
             out.append((np.full(len(best), qid[a + i]), ids[near[best]], d[best]))
     if not out:
@@ -174,3 +178,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+#: The exact ten nearest, by all distances.
+OP1_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), met AS (
+    SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b)) AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM met
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""

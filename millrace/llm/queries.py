@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, one for each operator, and their SQL where SQL can express them."""
 
-from millrace.llm.ann import op1_nearest
+from millrace.llm.ann import OP1_SQL, op1_nearest
 from millrace.llm.chat import OP2_SQL, op2_chat_formatting
 from millrace.llm.lm import op6_lm_scoring
 from millrace.llm.packing import op10_packing
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL = {"op2_chat_formatting": OP2_SQL, "op3_warc": OP3_SQL}
+ORACLE_SQL = {"op1_nearest": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_warc": OP3_SQL}

@@ -67,3 +67,11 @@ def test_edge_rows(spark):
     assert ann.search(df.where("false"), F.col("id") == 0).count() == 0
     one = ann.search(df.where("vec_id = 0"), F.col("id") == 0)
     assert one.count() == 0
+
+
+def test_query_matches_sql(spark):
+    from millrace.llm.queries import ORACLE_SQL, QUERIES
+    from tests.llm.oracle import same
+
+    for sf in ("sf0.01", "sf0.1"):
+        same(spark, QUERIES["op1_nearest"], ORACLE_SQL["op1_nearest"], f"/root/testdata/{sf}")
