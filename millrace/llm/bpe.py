@@ -1,25 +1,32 @@
-"""Token ids of a byte-level BPE tokenizer file, with a bounded memo of words.
+"""Token ids of a byte-level BPE tokenizer file, with a memo of words that a Python worker keeps up to a bound of bytes.
 
 The tokenizer first cuts a text at fixed places: before a single space that a non-space follows, and on both sides of a
-single line break between non-spaces. Merges never cross these cuts, so a word's ids don't depend on its neighbours, and a
-text is the concatenation of its words' ids. Texts with any other white space, NUL or a special token's string are given to
-the tokenizer whole."""
+single line break between non-spaces. Merges never cross these cuts, so a text is the concatenation of the ids of its units:
+a word with the space, or with the line break, before it. Texts with any other white space, NUL or a special token's string
+are given to the tokenizer whole.
+
+Arrow splits the texts and makes the units of a slice distinct; only those that the memo lacks reach the tokenizers library,
+in one call. A word of Latin letters is one run of the tokenizer's own pattern and ASCII marks after it are the next, so a
+copy of the tokenizer without that pattern merges the words; all other units go through the tokenizer as it is."""
 
 from __future__ import annotations
 
 import functools
-import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: How byte-level BPE cuts a text before merging (fixed value of the published scheme).
-_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-_NUL = "\x00"
-_END_MARKS = ".,;:!?"
+#: White space other than a space and a line break, NUL, and two marks that some tables call white space.
+_ODD_SPACE = "".join(map(chr, (0, 9, *range(11, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+#: A unit of Latin letters (U+00C0 to U+024F but two signs: letters in any version of Unicode) and ASCII marks.
+_PLAIN = r"^(?P<core>\n?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
+#: What a remembered word takes besides its characters and ids: the dictionary's slot, two objects, two offsets.
+_WORD_BYTES = 150
 
 
 def byte_of_char() -> dict[str, int]:
@@ -29,141 +36,159 @@ def byte_of_char() -> dict[str, int]:
     return {**{chr(b): b for b in own}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
-def ranked(path: str):
-    """The same ids from a faster merger, or None if the file isn't byte-level BPE whose ids ascend with its merges."""
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("ignore_merges"):
-        return None
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-    if any(a >= b for a, b in zip(merged, merged[1:])):
-        return None
-    byte = byte_of_char()
-    ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-    return tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+def _strings(column: pa.Array) -> list[str]:
+    """Python strings of an array without nulls, made in one call (to_pylist makes an Arrow scalar of each)."""
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 class Memo:
-    """ids of texts; at most `most` words are remembered, then all are forgotten."""
+    """ids of texts; once the remembered words take about `most_bytes`, all are forgotten."""
 
-    def __init__(self, path: str, most: int = 500_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most_bytes: int = 160 << 20):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.white = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]").search
-        self.fast = ranked(path)
-        self.proved = False
+        self.most_bytes = most_bytes
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join(["  ", "\n\n", " \n", "\n ", r" \z", f"[{_ODD_SPACE}]", *special])
         self.newline = self.whole("\n")
         if len(self.newline) != 1:
             raise ValueError("the tokenizer has no token for a line break")
+        self.merger = Tokenizer.from_file(path)
+        self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        own = {b: c for c, b in byte_of_char().items()}
+        self.space = own[32]
+        self.letters = {32: self.space, **{c: "".join(own[b] for b in chr(c).encode()) for c in range(0xC0, 0x250)}}
+        self.leads = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.leads[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(self.space)]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {"": 0, "\n": 1}
-        self.pool = np.array(self.newline, dtype=np.int32)
-        self.starts, self.sizes = np.array([0, 0], dtype=np.int64), np.array([0, 1], dtype=np.int64)
+        self.at: dict[str, int] = {}
+        self.pool = np.zeros(1 << 12, dtype=np.int32)
+        self.starts, self.sizes = np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int64)
+        self.words = self.used = self.chars = 0
+        self._append(["", "\n"], np.array(self.newline, dtype=np.int32), np.zeros(2, dtype=np.int64), np.array([0, 1]))
 
-    def odd(self, t: str) -> bool:
-        """Whether the cuts at single spaces and line breaks may not hold in the text."""
-        return "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[-1:] == " " or self.white(t) is not None or any(x in t for x in self.special)
+    @property
+    def bytes(self) -> int:
+        return self.words * _WORD_BYTES + self.chars + 4 * self.used
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _add(self, words: list[str]) -> None:
-        """Encode words that the memo lacks, in one call: a line break stands between any two."""
-        joined = "\n".join(words)
-        if self.fast is not None and self.proved:
-            ids = np.array(self.fast.encode_ordinary(joined), dtype=np.int32)
-        else:
-            ids = np.array(self.whole(joined), dtype=np.int32)
-            if self.fast is not None and len(words) > 1000:  # once in a worker: both give the same
-                self.proved = self.fast.encode_ordinary(joined) == ids.tolist()
-                self.fast = self.fast if self.proved else None
-        cuts = np.flatnonzero(ids == self.newline[0])
-        starts = np.concatenate([[0], cuts + 1])
-        ends = np.concatenate([cuts, [len(ids)]])
-        if len(starts) != len(words):
-            raise ValueError("words and token runs don't match")
-        self._append(words, ids, starts, ends - starts)
-
     def _append(self, words: list[str], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.starts)
-        self.at.update(zip(words, range(n, n + len(words))))
-        self.starts = np.concatenate([self.starts, starts + len(self.pool)])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.pool = np.concatenate([self.pool, ids])
-
-    def _gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of remembered words one after another, and where each ends."""
-        sizes = self.sizes[index]
+        """Remember words whose ids lie in `ids` from starts on. Buffers double when they are full."""
+        n, m = self.words + len(words), self.used + len(ids)
+        if n > len(self.starts):
+            more = np.zeros(max(n, 2 * len(self.starts)) - self.words, dtype=np.int64)
+            self.starts, self.sizes = np.concatenate([self.starts[: self.words], more]), np.concatenate([self.sizes[: self.words], more])
+        if m > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(m, 2 * len(self.pool)) - self.used, dtype=np.int32)])
+        self.at.update(zip(words, range(self.words, n)))
+        self.starts[self.words : n] = starts + self.used
+        self.sizes[self.words : n] = sizes
+        self.pool[self.used : m] = ids
+        self.words, self.used = n, m
+        self.chars += sum(map(len, words))
+
+    def _gather(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs of the pool one after another, and where each ends."""
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.repeat(self.starts[index] - (ends - sizes), sizes) + np.arange(total)], ends
-
-    def _learn(self, missing: list[str]) -> None:
-        cores: dict[str, None] = {}
-        split = []
-        for w in missing:
-            core = w.rstrip(_END_MARKS)
-            if len(core) < len(w) and core and core[-1].isalnum():
-                tail = w[len(core) :]
-                split.append((w, core, tail))
-                if core not in self.at:
-                    cores[core] = None
-                if tail not in self.at:
-                    cores[tail] = None
-            else:
-                cores[w] = None
-        if cores:
-            self._add(list(cores))
-        if split:  # a word and its end marks: both are known now
-            both = np.array([self.at[x] for _, core, tail in split for x in (core, tail)], dtype=np.int64)
-            ids, ends = self._gather(both)
-            stops = ends[1::2]
-            starts = np.concatenate([[0], stops[:-1]])
-            self._append([w for w, _, _ in split], ids, starts, stops - starts)
-
-    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and the number of ids of each text; `end` is added after each text."""
-        if len(self.at) > self.most:
+        return self.pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)], ends
+
+    def _add(self, units: list[str]) -> None:
+        """Encode units that the memo lacks in one call. Each stands on a line of its own: the line break before a unit is its
+        own where it starts with one, and is left out where the unit starts with a space."""
+        ids = np.array(self.whole("".join([u if u[0] == "\n" else "\n " + u for u in units])), dtype=np.int32)
+        cuts = np.flatnonzero(ids == self.newline[0])
+        if len(cuts) != len(units):
+            raise ValueError("units and token runs don't match")
+        starts = cuts + np.fromiter((u[0] != "\n" for u in units), dtype=bool, count=len(units))
+        self._append(units, ids, starts, np.append(cuts[1:], len(ids)) - starts)
+
+    def _add_words(self, words: list[str]) -> None:
+        """Encode words of Latin letters, each after a space, by merges alone: a word's first token holds the space."""
+        joined = " " + "\n ".join(words)
+        joined = joined.replace(" ", self.space) if joined.isascii() else joined.translate(self.letters)
+        ids = np.array(self.merger.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32)
+        starts = np.flatnonzero(self.leads[ids])
+        if len(starts) != len(words):
+            raise ValueError("words and token runs don't match")
+        self._append(words, ids, starts, np.append(starts[1:], len(ids)) - starts)
+
+    def _learn(self, units: pa.Array) -> None:
+        """Remember the units of an array without repeats, none of which is known."""
+        parts = pc.extract_regex(units, _PLAIN)
+        plain = parts.is_valid()
+        others = _strings(units.filter(pc.invert(plain)))
+        parts = parts.filter(plain)
+        cores, tails, own = _strings(parts.field("core")), _strings(parts.field("tail")), _strings(units.filter(plain))
+        marked = [i for i, t in enumerate(tails) if t]
+        lines = {tails[i]: "\n" + tails[i] for i in marked}  # marks alone, without a space before them
+        new = [c for c in dict.fromkeys(cores) if c not in self.at]
+        others = [u for u in dict.fromkeys([*others, *lines.values(), *(c for c in new if c[0] == "\n")]) if u not in self.at]
+        new = [c for c in new if c[0] != "\n"]
+        if others:
+            self._add(others)
+        if new:
+            self._add_words(new)
+        if not marked:
+            return
+        of_end = {mark: self.at[line] for mark, line in lines.items()}
+        first = np.array([self.at[cores[i]] for i in marked], dtype=np.int64)
+        last = np.array([of_end[tails[i]] for i in marked], dtype=np.int64)
+        starts = np.stack([self.starts[first], self.starts[last] + 1], axis=1).ravel()  # without the mark's line break
+        sizes = np.stack([self.sizes[first], self.sizes[last] - 1], axis=1).ravel()
+        ids, stops = self._gather(starts, sizes)
+        stops = stops[1::2]
+        begins = np.concatenate([[0], stops[:-1]])
+        self._append([own[i] for i in marked], ids, begins, stops - begins)
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string array's texts one after another, and the number of ids of each; null is an empty text; `end` is
+        added after each text."""
+        if self.bytes > self.most_bytes:
             self.forget()
-        words: list[str] = []
-        counts = []
-        direct: dict[int, np.ndarray] = {}
-        for i, t in enumerate(texts):
-            if self.odd(t):
-                direct[i] = np.array(self.whole(t), dtype=np.int32)
-                counts.append(0)
-                continue
-            own = t.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split(_NUL)
-            words += own
-            counts.append(len(own))
-        at = self.at
-        known = list(map(at.get, words))
-        if None in known:
-            self._learn(list(dict.fromkeys(w for w, x in zip(words, known) if x is None)))
-            known = list(map(at.__getitem__, words))
-        index = np.array(known, dtype=np.int64)
-        flat, ends = self._gather(index)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        lengths = np.diff(bounds)
-        if not direct and end is None:
-            return flat, lengths
-        tail = [] if end is None else [np.array([end], dtype=np.int32)]
-        parts = []
-        for i in range(len(texts)):
-            parts += [direct[i] if i in direct else flat[bounds[i] : bounds[i + 1]], *tail]
-        lengths = lengths.copy()
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, self.odd)
+        usual = texts.filter(pc.invert(odd))
+        lines = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\n", usual, ""), "\n", " \n"), " ")
+        at = lines.offsets.to_numpy().astype(np.int64)  # each list: "", the text's first unit with a line break, its other units
+        coded = lines.flatten().dictionary_encode()
+        distinct = _strings(coded.dictionary)
+        index = list(map(self.at.get, distinct))
+        if None in index:
+            self._learn(coded.dictionary.filter(pa.array([x is None for x in index])))
+            index = list(map(self.at.__getitem__, distinct))
+        own = np.array(index, dtype=np.int64)[coded.indices.to_numpy()]
+        starts, sizes = self.starts[own], self.sizes[own]
+        first = at[:-1] + 1  # the line break before the text isn't part of it
+        starts[first] += 1
+        sizes[first] -= 1
+        flat, ends = self._gather(starts, sizes)
+        of_usual = np.diff(np.concatenate([[0], ends])[at])
+        more = 0 if end is None else 1
+        lengths = np.zeros(len(texts), dtype=np.int64)
+        lengths[~odd.to_numpy(zero_copy_only=False)] = of_usual
+        direct = {i: np.array(self.whole(texts[i].as_py()), dtype=np.int32) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
         for i, ids in direct.items():
             lengths[i] = len(ids)
-        return (np.concatenate(parts) if parts else flat), lengths + len(tail)
+        if not direct and not more:
+            return flat, lengths
+        stops = np.cumsum(lengths + more)
+        out = np.zeros(int(stops[-1]) if len(stops) else 0, dtype=np.int32)
+        place = np.ones(len(out), dtype=bool)
+        if more:
+            out[stops - 1] = end
+            place[stops - 1] = False
+        for i, ids in direct.items():
+            a = stops[i] - more - len(ids)
+            out[a : a + len(ids)] = ids
+            place[a : a + len(ids)] = False
+        out[place] = flat
+        return out, lengths + more
 
 
 _MEMOS: dict[str, Memo] = {}

@@ -112,7 +112,7 @@ def pack(
         first = TaskContext.get().partitionId() << 36
         memo, marks = bpe.memo(path), bpe.marks_end(path)
         for batch in slices(batches, "t", 3 << 20):
-            ids, lengths = memo.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
+            ids, lengths = memo.encode(batch.column(1), end_id)
             at, penalty = places(ids, lengths, marks, window, inside, hard)
             chosen = at[cuts(at, penalty, window, window_cost)]
             stops = np.cumsum(lengths)
@@ -129,7 +129,6 @@ def pack(
                 ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
             )
             first += len(chosen) - 1
-        memo.forget()
         give_back()
 
     kind = "array<int>" if as_array else "binary"
