@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,112 @@ def shape_of(rows: DataFrame, parse, column: str) -> Shape:
     return shape
 
 
+#: Rows from the start of a file that may tell the order of its fields.
+HEAD_ROWS = 1000
+
+
+def variant_shape(text: str) -> Shape | None:
+    """The shape that schema_of_variant_agg's answer describes; None where it doesn't tell types apart as infer() does: mixed
+    values, structs without fields, and decimals without a fraction (1.0, or integers beyond 64 bits)."""
+    at = 0
+
+    def word(stops: str) -> str:
+        nonlocal at
+        begin = at
+        while at < len(text) and text[at] not in stops:
+            at += 1
+        return text[begin:at]
+
+    def name() -> str:
+        nonlocal at
+        if text[at] != "`":
+            return word(":")
+        out, at = "", at + 1
+        while True:
+            out += word("`")
+            at += 1
+            if at < len(text) and text[at] == "`":
+                out, at = out + "`", at + 1
+            else:
+                return out
+
+    def kind() -> Shape | None:
+        nonlocal at
+        head = word("<>(,")
+        if head == "OBJECT":
+            out, at = Shape({"struct"}), at + 1
+            while text[at] != ">":
+                own = name()
+                at += 2  # ": "
+                value = kind()
+                if value is None:
+                    return None
+                out.fields[own] = value
+                if text[at : at + 2] == ", ":
+                    at += 2
+            at += 1
+            return out if out.fields else None
+        if head == "ARRAY":
+            at += 1
+            item = kind()
+            at += 1
+            return None if item is None else Shape({"list"}, item)
+        if head == "DECIMAL":
+            at += 1
+            _, scale = word(")").split(",")
+            at += 1
+            return Shape({"float"}) if int(scale) else None
+        known = {"VOID": set(), "BOOLEAN": {"bool"}, "BIGINT": {"int"}, "DOUBLE": {"float"}, "FLOAT": {"float"}, "STRING": {"str"}}
+        return Shape(known[head]) if head in known else None
+
+    return kind()
+
+
+def ordered_as(shape: Shape, head: Shape) -> Shape | None:
+    """shape with its fields in the order of head's; None where head lacks some."""
+    if shape.item is not None:
+        item = ordered_as(shape.item, head.item or Shape())
+        return None if item is None else Shape(shape.kinds, item)
+    if set(shape.fields) - set(head.fields):
+        return None
+    fields = {k: ordered_as(shape.fields[k], head.fields[k]) for k in head.fields if k in shape.fields}
+    return None if None in fields.values() else Shape(shape.kinds, None, fields)
+
+
+def native_shape(rows: DataFrame, head: Callable[[DataFrame], list], array: bool = False) -> Shape | None:
+    """The shape of JSON texts (of one object, or of an array of them) by the JVM's own aggregate, with the order of fields from
+    the first rows; None where either doesn't settle it, and shape_of() reads all rows in Python instead."""
+    try:
+        found = rows.agg(F.expr("schema_of_variant_agg(parse_json(value))").alias("t")).first().t or ""
+    except Exception:  # a malformed text or a repeated key: shape_of() takes or refuses it
+        return None
+    if not found.startswith("ARRAY<OBJECT<" if array else "OBJECT<"):
+        return None
+    shape = variant_shape(found)
+    if shape is not None and array:
+        shape = shape.item
+    return None if shape is None else ordered_as(shape, infer(head(rows)))
+
+
+def head_lines(lines: DataFrame) -> list:
+    return [json.loads(r.value) for r in lines.orderBy(POS).limit(HEAD_ROWS).select("value").collect()]
+
+
+def head_elements(files: DataFrame) -> list:
+    """The first elements of the first file's array, as far as they lie in its first megabyte."""
+    first = files.orderBy(POS).select(F.substring("value", 1, 1 << 20).alias("t")).first()
+    text, out, at = first.t if first else "", [], 0
+    decoder, gap = json.JSONDecoder(), re.compile(r"[\s,\[]*")
+    while len(out) < HEAD_ROWS:
+        at = gap.match(text, at).end()
+        try:
+            row, at = decoder.raw_decode(text, at)
+        except json.JSONDecodeError:  # the end of the array or of the megabyte
+            break
+        out.append(row)
+    return out
+
+
 def _loads(text: str):
     return json.loads(text)
 
@@ -78,7 +185,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
     lines = file_order(spark.read.text(path), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).where(~F.col("value").rlike(_BLANK))
     shape = None
     if schema is None:
-        shape = shape_of(lines, lambda v: [_loads(v)], "value")
+        shape = native_shape(lines, head_lines) or shape_of(lines, lambda v: [_loads(v)], "value")
         schema = shape.row_type()
     if not schema.fields:
         return lines.select(POS)
@@ -96,7 +203,7 @@ def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType |
         raise TypeError("the root of a JSON file must be a list")
     shape = None
     if schema is None:
-        shape = shape_of(files, _loads, "value")
+        shape = native_shape(files, head_elements, array=True) or shape_of(files, _loads, "value")
         schema = shape.row_type()
     if not schema.fields:
         return files.select(F.posexplode(F.from_json("value", T.ArrayType(T.StringType()))), POS).select(F.concat(POS, F.array(F.col("pos").cast("long"))).alias(POS))
