@@ -75,3 +75,20 @@ def append(batch: pa.RecordBatch, fields: list[pa.Field], arrays: list[pa.Array]
 
 def with_fields(schema: T.StructType, *more: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in more)])
+
+
+#: Words of 64 bits in a screen: what is broadcast doesn't grow with the data.
+SCREEN_WORDS = 1 << 18
+
+
+def screened(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, str]:
+    """rows with a boolean column, and its name: false where the key (a long, a hash) is surely not among the wanted ones.
+
+    A bitmap of fixed size holds a bit for each wanted key. Only rows that may be wanted need the exact join after it, so most
+    rows aren't shuffled while the wanted ones are few next to its 16 million bits; beyond that all are, with the same result."""
+    bit = lambda k: F.expr(f"shiftleft(1L, int(shiftrightunsigned(`{k}`, 40) & 63))")
+    word = lambda k: F.pmod(F.col(k), F.lit(SCREEN_WORDS))
+    table = wanted.select(wanted_key.alias("_k")).groupBy(word("_k").alias("_at")).agg(F.bit_or(bit("_k")).alias("_word"))
+    k, name = free_name(rows, "_key"), free_name(rows, "_may")
+    met = rows.withColumn(k, key).alias("_r").join(F.broadcast(table), word(k) == F.col("_at"), "left")
+    return met.select("_r.*", F.coalesce(F.col("_word").bitwiseAND(bit(k)) != 0, F.lit(False)).alias(name)).drop(k), name

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from millrace.session import drop_materialized, materialize
 
 
+def numbered(vertices: DataFrame, name: str = "node") -> DataFrame:
+    """vertices with a number for each row. The numbers hold until the frame is computed again: materialize it."""
+    return vertices.withColumn(name, F.monotonically_increasing_id())
+
+
 def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     """pairs (u, v): to each u the smallest vertex m of it and its neighbours; v (only those over u if larger) hangs under m."""
     least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))

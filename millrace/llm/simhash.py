@@ -1,15 +1,16 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, joined by a binary trie over the fingerprints.
 
-Plan. One narrow pass makes the fingerprints. Equal fingerprints fold into one vertex (their smallest doc_id) before any
+Plan. One narrow pass makes the fingerprints. Equal fingerprints fold into one vertex with a number of its own before any
 comparison, so exact copies cost nothing. Two fingerprints that differ in at most `budget` bits agree in at least one of
 budget + 1 blocks of bits: each vertex goes to the groups of its blocks, and a group with very many vertices is dealt out
 again by blocks of its remaining bits, so that no group grows with the table. Inside a group a binary trie over the sorted
 fingerprints is joined with itself: pairs of nodes go down together, add up the bits in which their paths differ, and stop
 when that exceeds the budget. Each task sends on a spanning forest of the links found, never all pairs; components.py
-joins the forests.
+joins the forests. trie_join() goes down the tries of two sides in the same way; near_copies.py uses it with a wide budget.
 
 Defined cases: null or empty text has fingerprint zero and is linked like any other; a null doc_id keeps its fingerprint
-but takes no part in links (component null); repeated rows are equal fingerprints; further columns are ignored."""
+but takes no part in links (component null); repeated rows are equal fingerprints; an id with several texts is in the component
+of each of them, and joins none of them; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import slices, table, texts
-from millrace.llm.components import components
+from millrace.llm.components import components, numbered
 from millrace.session import materialize
 
 BITS = 64
@@ -32,26 +33,31 @@ FRONTIER = 1 << 20
 
 
 def fold(hashes: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """Majority bits over each run of hashes: a bit is 1 where more than half of the run have it; an empty run gives 0."""
-    out = np.zeros(len(sizes), dtype=np.uint64)
+    """Majority bits over each run of hashes: a bit is 1 where more than half of the run have it; an empty run gives 0.
+
+    Bits are counted in the eight byte lanes of a word, over at most 255 hashes at once so that no lane runs over."""
     n = np.asarray(sizes, dtype=np.int64)
-    ends = np.cumsum(n)
+    out = np.zeros(len(n), dtype=np.uint64)
     full = np.flatnonzero(n)
-    step = 1 << 18
-    first = 0
-    while first < len(full):
-        last = max(first + 1, int(np.searchsorted(ends[full], ends[full[first]] - n[full[first]] + step, side="right")))
-        run = full[first:last]
-        a, b = ends[run[0]] - n[run[0]], ends[run[-1]]
-        count = np.zeros((len(run), BITS), dtype=np.int64)
-        for c in range(a, b, step):  # one very long text is summed in steps
-            bits = np.unpackbits(hashes[c : min(b, c + step)].view(np.uint8), bitorder="little").reshape(-1, BITS)
-            starts = np.maximum(ends[run] - n[run], c) - c
-            held = (starts < len(bits)) & (ends[run] > c)
-            count[held] += np.add.reduceat(bits, starts[held], axis=0, dtype=np.int32)
-        major = (2 * count > n[run][:, None]).astype(np.uint8)
-        out[run] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
-        first = last
+    if not len(full):
+        return out
+    n = n[full]
+    pieces = -(-n // 255)
+    run = np.repeat(np.arange(len(n)), pieces)
+    starts = (np.cumsum(n) - n)[run] + 255 * (np.arange(len(run)) - (np.cumsum(pieces) - pieces)[run])
+    count = np.zeros((len(n), BITS), dtype=np.int64)
+    step = 1 << 10
+    for a in range(0, len(starts), step):
+        own = starts[a : a + step]
+        part = hashes[own[0] : starts[a + step] if a + step < len(starts) else None]
+        sums = np.empty((len(own), 8, 8), dtype=np.int64)  # piece, byte, bit
+        for bit in range(8):
+            lanes = (part >> np.uint64(bit)) & np.uint64(0x0101010101010101)
+            sums[:, :, bit] = np.add.reduceat(lanes, own - own[0]).view(np.uint8).reshape(-1, 8)
+        edge = np.flatnonzero(np.diff(run[a : a + step], prepend=-1))
+        count[run[a : a + step][edge]] += np.add.reduceat(sums.reshape(-1, BITS), edge, axis=0)
+    major = (2 * count > n[:, None]).astype(np.uint8)
+    out[full] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
@@ -128,6 +134,64 @@ def trie_pairs(keys: np.ndarray, bounds: np.ndarray, budget: int) -> Iterator[tu
         stack.append((depth + 1, new[:, alive]))
 
 
+def _products(pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j) of pairs of ranges [la, ha) x [lb, hb), in chunks of about FRONTIER."""
+    la, ha, lb, hb = pairs[:4]
+    sizes = (ha - la) * (hb - lb)
+    a = 0
+    while a < len(sizes):
+        b = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:]), FRONTIER, side="right")))
+        own = sizes[a:b]
+        for first in range(0, int(own.sum()), FRONTIER):  # one step but for a pair of very large ranges
+            if b - a == 1:
+                at = np.arange(first, min(first + FRONTIER, int(own[0])))
+                k = np.full(len(at), a)
+            else:
+                k = np.repeat(np.arange(a, b), own)
+                at = np.arange(len(k)) - np.repeat(np.cumsum(own) - own, own)
+            wide = (hb - lb)[k]
+            yield la[k] + at // wide, lb[k] + at % wide
+            if b - a > 1:
+                break
+        a = b
+
+
+def trie_join(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) in chunks with at most budget bits between a[i] and b[j], both in the same run.
+
+    a_at and b_at: offsets of the runs; keys ascend within a run and may repeat. The tries of both sides go down together."""
+    keys = (a, b)
+    ones = [np.zeros(len(k) + 1, dtype=np.int64) for k in keys]
+    first = np.stack([a_at[:-1], a_at[1:], b_at[:-1], b_at[1:], np.zeros(len(a_at) - 1, dtype=np.int64)])
+    stack = [(0, first[:, (first[0] < first[1]) & (first[2] < first[3])])]
+    cached = -1
+    while stack:
+        depth, pairs = stack.pop()
+        if pairs.shape[1] > FRONTIER:
+            half = pairs.shape[1] // 2
+            stack += [(depth, pairs[:, :half]), (depth, pairs[:, half:])]
+            continue
+        small = ((pairs[1] - pairs[0]) * (pairs[3] - pairs[2]) <= 16) | (depth == BITS)
+        for i, j in _products(pairs[:, small]):
+            near = np.bitwise_count(a[i] ^ b[j]) <= budget
+            if near.any():
+                yield i[near], j[near]
+        pairs = pairs[:, ~small]
+        if not pairs.shape[1]:
+            continue
+        if cached != depth:
+            for k, one in zip(keys, ones):
+                np.cumsum((k >> np.uint64(BITS - 1 - depth)) & np.uint64(1), out=one[1:], dtype=np.int64)
+            cached = depth
+        la, ha, lb, hb, diff = pairs
+        ma, mb = ha - (ones[0][ha] - ones[0][la]), hb - (ones[1][hb] - ones[1][lb])
+        new = np.concatenate(
+            [np.stack([la, ma, lb, mb, diff]), np.stack([ma, ha, mb, hb, diff]), np.stack([la, ma, mb, hb, diff + 1]), np.stack([ma, ha, lb, mb, diff + 1])], axis=1
+        )
+        alive = (new[0] < new[1]) & (new[2] < new[3]) & (new[4] <= budget)
+        stack.append((depth + 1, new[:, alive]))
+
+
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Smallest index reachable from each of n vertices; pairs come in chunks and aren't kept."""
     root = np.arange(n)
@@ -224,24 +288,12 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs."""
     marks = materialize(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    vertices = materialize(marks.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "vertices")
+    vertices = materialize(numbered(marks.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))), "vertices")
     roots = components(hamming_links(vertices, budget, most))
-    classes = vertices.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("c"))
-    out = marks.join(classes, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
-
-
-def rows_of(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
-    """One row of docs for each id in kept, and the rows without id."""
-    known = docs.where(F.col(id_col).isNotNull())
-    return known.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).union(docs.where(F.col(id_col).isNull()))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs whose id stands for its component (the smallest id); one row for each such id; rows without id stay."""
-    found = near_duplicates(docs, id_col, **how)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return rows_of(docs, kept, id_col)
+    classes = vertices.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("c"))
+    smallest = classes.groupBy("c").agg(F.min("least").alias("component_id"))
+    out = marks.join(classes.join(smallest, "c").select("fp", "component_id"), "fp", "left")
+    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,9 +58,8 @@ def test_edge_rows(spark):
     ids = {d: c for d, _, c in got}
     assert len(got) == 8 and ids[5] == ids[3] == ids[9] == 3 and ids[7] == ids[1] == 1 and ids[8] == 8 and ids[-1] is None
     assert {f for d, f, _ in got if d in (3, 5, 9)} == {0}
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3, 8]
+    twice = spark.createDataFrame([(1, "a b c d"), (5, "e f g h"), (5, "i j k l"), (5, "a b c d")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(twice).collect()) == [(1, 1), (5, 1), (5, 5), (5, 5)]
 
 
 def test_empty_table(spark):
