@@ -209,8 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)], ["x", "y"])
 
     sample = labelled_sample(labels, label, allowed, most, id_col)
-    rows = labelled_rows(docs.select(F.col(id_col), F.col(text_col).alias("t")), sample, id_col).select("t", F.col("_y").alias("y"))
-    got = rows.mapInArrow(run, "x binary, y int").limit(most).toArrow()
+    got = labelled_rows(docs, sample, id_col, text_col).mapInArrow(run, "x binary, y int").toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), dtype=np.float32).reshape(got.num_rows, 4 * DIM + 2).astype(np.float64)
     y = got.column("y").to_numpy().astype(np.float64)
     order = np.lexsort((*x[:, :3].T, y))  # the same rows give the same model, in whatever order they arrive

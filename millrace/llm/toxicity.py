@@ -1,9 +1,9 @@
 """Toxic spans by a linear-chain conditional random field over the tags "clean" and "toxic".
 
 1. Labelled tokens. The labels are of documents, so tokens are labelled first: sentences of a bounded sample of labelled
-   documents are made distinct (copies of a passage count once), and words and stems are counted over
-   sentences of toxic and of other documents: words first, then the stems of words not marked yet. A feature whose G statistic passes a threshold corrected for the number of
-   features, and whose sentences are nearly all from toxic documents, marks its tokens there as toxic.
+   documents are made distinct (copies of a passage count once), and words and stems are counted over sentences of toxic and of
+   other documents: words first, then the stems of words not marked yet. A feature whose G statistic passes a threshold corrected
+   for the number of features, and whose sentences are nearly all from toxic documents, marks its tokens there as toxic.
 2. Training. Weights of hashed features and the transitions maximise the conditional likelihood of the tags of at most
    `most_sentences` marked and as many other sentences: gradients from forward-backward marginals, AdaGrad.
 3. Scoring. Each task runs forward-backward over the sentences of its rows, all sentences of a slice at once, one token
@@ -225,10 +225,14 @@ def fit(
     most_features: int = 5_000,
     most_sentences: int = 20_000,
     pure: float = 0.95,
+    most_bytes: int = 2048,
 ) -> Model:
-    """Learn from at most `most` labelled documents that `allowed` (a condition on labels) admits."""
+    """Learn from at most `most` labelled documents that `allowed` (a condition on labels) admits.
+
+    most_features, most_sentences, most_bytes bound what reaches the driver: marking features of each round, sentences of each
+    kind that train the field, and the length of those."""
     sample = labelled_sample(labels, label, allowed, most, id_col)
-    own = materialize(labelled_rows(docs.select(F.col(id_col), F.col(text_col).alias("t")), sample, id_col).select("t", F.col("_y").alias("y")), "toxic-sample")
+    own = materialize(labelled_rows(docs, sample, id_col, text_col), "toxic-sample")
     kinds = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = kinds.get(1, 0), sum(kinds.values()) - kinds.get(1, 0)
     prior = (n1 + 1) / (n1 + n0 + 2)
@@ -280,7 +284,7 @@ def fit(
             y = [int(v == 1 and any(marks(s))) for s, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y, pa.int32())], ["s", "y"])
 
-    tagged = parts.mapInArrow(tag, "s binary, y int")
+    tagged = parts.where(F.octet_length("s") <= most_bytes).mapInArrow(tag, "s binary, y int")
     mixed = tagged.withColumn("h", F.xxhash64("s"))
     got = [mixed.where(F.col("y") == y).orderBy("h", "s").limit(most_sentences).select("s").toArrow().column(0).to_pylist() for y in (1, 0)]
     field = train([(s.split(), marks(s) if y else [0] * len(s.split())) for y, rows in ((1, got[0]), (0, got[1])) for s in rows])
@@ -290,7 +294,7 @@ def fit(
             a, b, _, _ = summary(texts(batch.column(0)), field)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), batch.column(1)], ["a", "b", "y"])
 
-    x = own.mapInArrow(sum_up, "a double, b double, y int").limit(2 * most).toArrow()
+    x = own.mapInArrow(sum_up, "a double, b double, y int").toArrow()
     a, b, y = (x.column(c).to_numpy() for c in ("a", "b", "y"))
     drop_materialized(own, parts)
     order = np.lexsort((y, b, a))
