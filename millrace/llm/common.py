@@ -53,6 +53,28 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES
     give_back()
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first one, cut where it changes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        g = whole.column(0).to_numpy()
+        cut = int(np.searchsorted(g, g[-1]))
+        if cut:
+            yield [c.to_numpy() for c in whole.slice(0, cut).columns]
+        held, size = [whole.slice(cut)], whole.num_rows - cut
+        rows = max(rows, 2 * size)  # a large group is put together again only when it has doubled
+    if held:
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns]
+
+
 def offsets(lengths: list[int]) -> np.ndarray:
     """Start of each run, and the end of the last."""
     out = np.zeros(len(lengths) + 1, dtype=np.int64)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import screened, slices, texts
+from millrace.llm.common import screened, slices, texts, whole_groups
 from millrace.llm.components import components, numbered
 from millrace.llm.shingles import mixed, shingle_sets
 from millrace.llm.simhash import fold, trie_join
@@ -118,28 +118,6 @@ def possible(pairs: DataFrame, vertices: DataFrame, similarity: float) -> DataFr
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
-    """The columns of batches sorted by the first one, cut where it changes."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.num_rows
-        if size < rows:
-            continue
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        g = whole.column(0).to_numpy()
-        cut = int(np.searchsorted(g, g[-1]))
-        if cut:
-            yield [c.to_numpy() for c in whole.slice(0, cut).columns]
-        held, size = [whole.slice(cut)], whole.num_rows - cut
-        rows = max(rows, 2 * size)  # a large group is put together again only when it has doubled
-    if held:
-        yield [c.to_numpy() for c in pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns]
-
-
 def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by their first column -> those whose value in it occurs more than once."""
     for columns in whole_groups(batches):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices, table, texts
+from millrace.llm.common import slices, table, texts, whole_groups
 from millrace.llm.components import components, numbered
 from millrace.session import materialize
 
@@ -221,30 +221,9 @@ def _links(budget: int):
         return node[at], node[root[at]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
-            g, k, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            a, b = links(g, k.view(np.uint64), v)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:  # groups come together; the last of a batch may go on in the next
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 200_000:
-                continue
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            g = whole.column(0).to_numpy()
-            cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
-            if cut:
-                yield solve(whole.slice(0, cut))
-            held = [whole.slice(cut)]
-            rows = whole.num_rows - cut
-        if held:
-            yield solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        for group, key, node in whole_groups(batches):  # rows of a group come together
+            a, b = links(group, key.view(np.uint64), node)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
