@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What Python's str.strip() removes, as a Java character class (Spark's trim() removes only U+0020).
-WHITESPACE = r"[\s\x1C-\x1F\x85   -     　]"
+#: What Python's str.strip() removes (Spark's trim() alone removes only U+0020).
+WHITESPACE = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def strip(c: Column) -> Column:
-    """Python's str.strip(): drops every kind of white space at both ends."""
-    return F.regexp_replace(c, rf"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    """Python's str.strip(): drops every kind of white space at both ends, and looks at nothing between them."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def or_empty(c: Column) -> Column:
