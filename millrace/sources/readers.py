@@ -34,19 +34,21 @@ def shape_of(rows: DataFrame, parse, column: str) -> Shape:
         if first is not None:
             yield pa.RecordBatch.from_arrays([pa.array([first], pa.list_(pa.int64())), pa.array([pickle.dumps(shape)], pa.binary())], ["first", "raw"])
 
-    def merged(table: pa.Table) -> pa.Table:
-        import pickle
+    return merged_shape(rows.select(column, POS).mapInArrow(part, "first array<bigint>, raw binary"))
+
+
+def merged_shape(parts: DataFrame) -> Shape:
+    """The shape of parts (first: their place, raw: a pickled shape), merged in their order. Parts of neighbouring places, which
+    agree in all of `first` but its last entry, meet in one task; the driver merges one shape of each such group."""
+    import pickle
 
+    def merged(table: pa.Table) -> pa.Table:
         own = sorted(zip(table.column("first").to_pylist(), table.column("raw").to_pylist()))
         shape = Shape()
         for _, raw in own:
             shape.merge(pickle.loads(raw))
         return pa.table({"first": pa.array([own[0][0]], pa.list_(pa.int64())), "raw": pa.array([pickle.dumps(shape)], pa.binary())})
 
-    import pickle
-
-    parts = rows.select(column, POS).mapInArrow(part, "first array<bigint>, raw binary")
-    # parts of neighbouring positions meet, so that the order of first appearance holds across groups
     grouped = parts.groupBy(F.slice("first", 1, F.greatest(F.size("first") - 1, F.lit(1)))).applyInArrow(merged, "first array<bigint>, raw binary")
     shape = Shape()
     for row in sorted(grouped.collect(), key=lambda r: r.first):
