@@ -7,8 +7,8 @@ length, a binary search in that length's sorted piece keys gives its score, and
 first, stores a backpointer. A character without a piece becomes its UTF-8 bytes (byte fallback) or the unknown id.
 
 The ids are those of the unigram algorithm over the file's pieces and scores (the sequence of pieces with the largest sum).
-For a file of model type BPE, whose scores are merge ranks, the library merges instead, so its ids may differ from these;
-both decode to the same text.
+For a file of model type BPE, whose scores are merge ranks, the library merges instead and gives other ids for nearly every
+document; both decode to the same text. A file that asks for a normaliser, or for pieces, that this search doesn't know raises.
 
 Defined cases: null or empty text has no ids; a null id is carried along; repeated rows are encoded one by one; further
 columns are kept as they are, whatever their names; U+2581 in a text is read as a space, as the library does."""
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,13 +33,63 @@ _CELLS = 1 << 19
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
 
+def wire_fields(raw: bytes) -> dict[int, list]:
+    """Fields of a protocol-buffer message: numbers of varints, bytes of the others."""
+    out: dict[int, list] = {}
+    i = 0
+
+    def varint() -> int:
+        nonlocal i
+        x = shift = 0
+        while True:
+            b = raw[i]
+            i += 1
+            x |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return x
+
+    while i < len(raw):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            value = varint()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or varint()
+            value, i = raw[i : i + size], i + size
+        out.setdefault(tag >> 3, []).append(value)
+    return out
+
+
+def check_settings(raw: bytes) -> str:
+    """"unigram" or "bpe" of a model file's bytes. Raises where the file asks for a normaliser or pieces this search doesn't know.
+
+    Numbers of fields and enums are fixed values of the public model format."""
+    model = wire_fields(raw)
+    trainer, normal = (wire_fields(model.get(n, [b""])[0]) for n in (2, 3))
+    first = lambda fields, n, default: fields.get(n, [default])[0]
+    kind = {1: "unigram", 2: "bpe"}.get(first(trainer, 3, 1))
+    if kind is None:
+        raise ValueError("the model is neither of type unigram nor BPE")
+    if first(trainer, 24, 0):
+        raise ValueError("pieces that end with white space aren't supported")
+    if first(normal, 2, b"") or first(normal, 6, b""):
+        raise ValueError("normalisation rules aren't supported: the file must keep characters as they are")
+    if not first(normal, 3, 1) or first(normal, 4, 1) or not first(normal, 5, 1):
+        raise ValueError("the file must add a space before a text, keep runs of spaces, and escape spaces")
+    if any(first(wire_fields(piece), 3, 1) == 4 for piece in model.get(1, [])):
+        raise ValueError("user-defined pieces aren't supported")
+    return kind
+
+
 class Vocabulary:
-    """Pieces by length: sorted hashes, scores and ids."""
+    """Pieces by length: sorted hashes, scores and ids. `kind`: what the file's own algorithm is, "unigram" or "bpe"."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.kind = check_settings(sp.serialized_model_proto())
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         scores = [sp.get_score(i) for i in range(n)]
@@ -165,44 +216,64 @@ class Vocabulary:
 
 
 class Memo:
-    """Ids of texts; at most `most` words are remembered, then all are forgotten."""
+    """Ids of texts; once the remembered words take about `most_bytes`, all are forgotten."""
 
-    def __init__(self, path: str, most: int = 400_000):
-        self.vocabulary, self.most, self.at = Vocabulary(path), most, {}
+    def __init__(self, path: str, most_bytes: int = 128 << 20):
+        self.vocabulary, self.most_bytes = Vocabulary(path), most_bytes
         self.forget()
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.pool, self.starts, self.sizes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another; the offsets of the texts."""
-        if len(self.at) > self.most:
+        self.pool = np.zeros(1 << 12, dtype=np.int32)
+        self.starts, self.sizes, self.exact = np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=bool)
+        self.words = self.used = self.chars = 0
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember words: their ids, and whether these decode to the word. Buffers double when they are full."""
+        ids = self.vocabulary.encode_words([SPACE + w for w in new])
+        size = np.array([len(x) for x in ids], dtype=np.int64)
+        flat = np.fromiter((y for x in ids for y in x), dtype=np.int32, count=int(size.sum()))
+        raw = self.vocabulary.raw
+        same = [b"".join(map(raw.__getitem__, x)) == b" " + w.replace(SPACE, " ").encode() for x, w in zip(ids, new)]
+        n, m = self.words + len(new), self.used + len(flat)
+        grown = lambda x, used, need: x if need <= len(x) else np.concatenate([x[:used], np.zeros(max(need, 2 * len(x)) - used, dtype=x.dtype)])
+        self.starts, self.sizes, self.exact = (grown(x, self.words, n) for x in (self.starts, self.sizes, self.exact))
+        self.pool = grown(self.pool, self.used, m)
+        self.at.update(zip(new, range(self.words, n)))
+        self.starts[self.words : n], self.sizes[self.words : n], self.exact[self.words : n] = self.used + np.cumsum(size) - size, size, same
+        self.pool[self.used : m] = flat
+        self.words, self.used, self.chars = n, m, self.chars + sum(map(len, new))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of a string array's texts one after another, the offsets of the texts, and whether each decodes to its text."""
+        if self.words * 160 + self.chars + 4 * self.used > self.most_bytes:
             self.forget()
-        words: list[str] = []  # without the space mark that each starts with
-        ends = []
-        for t in texts:
-            if t:
-                if SPACE in t or "  " in t or t[0] == " " or t[-1] == " ":
-                    words += [u[1:] for u in _UNITS(SPACE + t.replace(" ", SPACE))]
-                else:
-                    words += t.split(" ")
-            ends.append(len(words))
-        known = list(map(self.at.get, words))
-        if None in known:
-            new = list(dict.fromkeys(w for w, x in zip(words, known) if x is None))
-            ids = self.vocabulary.encode_words([SPACE + w for w in new])
-            self.at.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
-            size = np.array([len(x) for x in ids], dtype=np.int64)
-            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(size) - size])
-            self.sizes = np.concatenate([self.sizes, size])
-            self.pool = np.concatenate([self.pool, np.fromiter((y for x in ids for y in x), dtype=np.int32, count=int(size.sum()))])
-            known = list(map(self.at.__getitem__, words))
-        index = np.array(known, dtype=np.int64)
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        lists = pc.split_pattern(texts, " ")  # words without the space mark that each starts with
+        odd = pc.or_(pc.match_substring_regex(texts, f"^ |  | \\z|{SPACE}"), pc.equal(texts, ""))
+        counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        usual = lists.filter(pc.invert(odd)).flatten().dictionary_encode()
+        distinct = usual.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at_odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        own_odd = [[u[1:] for u in _UNITS(SPACE + t.replace(" ", SPACE))] if t else [] for t in (texts[int(i)].as_py() for i in at_odd)]
+        counts[at_odd] = [len(x) for x in own_odd]
+        missing = [w for w in dict.fromkeys([*distinct, *(w for x in own_odd for w in x)]) if w not in self.at]
+        if missing:
+            self._learn(missing)
+        stops = np.cumsum(counts)
+        index = np.empty(int(stops[-1]) if len(stops) else 0, dtype=np.int64)
+        place = np.ones(len(index), dtype=bool)
+        for i, own in zip(at_odd, own_odd):
+            a = stops[i] - counts[i]
+            index[a : stops[i]] = [self.at[w] for w in own]
+            place[a : stops[i]] = False
+        index[place] = np.fromiter((self.at[w] for w in distinct), dtype=np.int64, count=len(distinct))[usual.indices.to_numpy()]
         size = self.sizes[index]
-        stop = np.concatenate([[0], np.cumsum(size)])
-        flat = self.pool[np.repeat(self.starts[index] - stop[:-1], size) + np.arange(stop[-1])]
-        return flat, stop[np.array([0, *ends], dtype=np.int64)]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.pool[np.repeat(self.starts[index] - ends[:-1], size) + np.arange(ends[-1])]
+        wrong = np.concatenate([[0], np.cumsum(~self.exact[index])])
+        bounds = np.concatenate([[0], stops]).astype(np.int64)
+        return flat, ends[bounds], wrong[bounds[1:]] == wrong[bounds[:-1]]
 
 
 _MEMOS: dict[str, Memo] = {}
@@ -222,13 +293,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", name: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = memo(path)
         for batch in slices(batches, text_col):
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            flat, at = own.encode([t or "" for t in texts])
+            flat, at, same = own.encode(batch.column(batch.schema.get_field_index(text_col)))
             fields = [pa.field(name, pa.list_(pa.int32()))]
             arrays = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))]
             if exact:
-                ids = flat.tolist()
-                same = [own.vocabulary.decode(ids[a:b]) == (t or "").replace(SPACE, " ") for t, a, b in zip(texts, at.tolist(), at[1:].tolist())]
                 fields.append(pa.field(exact, pa.bool_()))
                 arrays.append(pa.array(same))
             yield append(batch, fields, arrays)

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -42,23 +43,73 @@ def test_batches_match_plain_loops():
 def test_round_trip():
     rng = random.Random(5)
     bits = ["word", "é", "日", "🙂", " ", "  ", "\n", "\t", "Ａ", "▂", "\x01"]
-    m = pieces.Memo(PATH, most=50)
+    m = pieces.Memo(PATH, most_bytes=10_000)
     texts = ["", " ", "  ", "a", " a ", "a  b", "\n"] + ["".join(rng.choice(bits) for _ in range(rng.randrange(20))) for _ in range(500)]
     for a in range(0, len(texts), 40):
         part = texts[a : a + 40]
-        flat, at = m.encode(part)
+        flat, at, exact = m.encode(pa.array(part))
+        assert exact.all()
         for t, i, j in zip(part, at, at[1:]):
             assert m.vocabulary.decode(flat[i:j].tolist()) == t
     sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    flat, at = m.encode(texts[:60])
+    flat, at, _ = m.encode(pa.array(texts[:60]))
     assert [sp.decode(flat[i:j].tolist()) for i, j in zip(at, at[1:])] == [sp.decode(sp.encode(t)) for t in texts[:60]]
 
 
+def brute(text, pieces_, scores, bytes_, longest, penalty):
+    """The best sequence of pieces of a whole text, by plain loops over its characters, without cutting it into words."""
+    text = "▁" + text.replace(" ", "▁") if text else ""
+    best = [(0.0, 0, [])]
+    for j in range(1, len(text) + 1):
+        top = None
+        for i in range(max(0, j - longest), j):
+            piece = text[i:j]
+            if piece in pieces_:
+                s, ids = scores[pieces_[piece]], [pieces_[piece]]
+            elif j - i == 1:
+                s, ids = penalty, [bytes_[b] for b in piece.encode()]
+            else:
+                continue
+            if top is None or best[i][0] + s > top[0]:
+                top = (best[i][0] + s, i, ids)
+        best.append(top)
+    out, j = [], len(text)
+    while j:
+        out.append(best[j][2])
+        j = best[j][1]
+    return [x for ids in reversed(out) for x in ids], best[-1][0]
+
+
 def test_documents(spark):
+    """The query's ids have the largest sum of scores of all sequences of pieces of the whole text."""
     sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = pieces.op8_pieces(spark, sf).collect()
-    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
-    assert all(r.exact and r.n_ids == len(r.ids) > 0 for r in rows)
+    assert len(rows) == len(texts) and all(r.exact and r.n_ids == len(r.ids) > 0 for r in rows)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    n = sp.get_piece_size()
+    plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    named, scores = {sp.id_to_piece(i): i for i in plain}, [sp.get_score(i) for i in range(n)]
+    bytes_ = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
+    penalty = min(scores[i] for i in plain) - 10
+    small = sorted((r for r in rows if len(texts[r.doc_id]) < 4000), key=lambda r: r.doc_id)
+    assert len(small) > 100
+    for r in small[:60]:
+        ids, total = brute(texts[r.doc_id], named, scores, bytes_, max(map(len, named)), penalty)
+        own = sum(scores[x] for x in r.ids if x in set(named.values())) if not set(r.ids) & set(bytes_.values()) else None
+        assert r.ids == ids or (own is not None and abs(own - total) < 1e-6 * abs(total))
+
+
+def test_settings_of_the_file():
+    raw = sentencepiece.SentencePieceProcessor(model_file=PATH).serialized_model_proto()
+    assert pieces.check_settings(raw) == "bpe"
+    field = lambda number, body: bytes([number << 3 | 2, len(body)]) + body
+    piece, name = field(1, field(1, b"a")), field(1, b"identity")
+    kept = bytes([4 << 3, 0])  # remove_extra_whitespaces
+    assert pieces.check_settings(piece + field(2, bytes([3 << 3, 1])) + field(3, name + kept)) == "unigram"
+    for trainer, normal in ((bytes([3 << 3, 3]), kept), (b"", kept + field(2, b"rules")), (b"", b""), (b"", kept + bytes([3 << 3, 0]))):
+        with pytest.raises(ValueError):
+            pieces.check_settings(piece + field(2, trainer) + field(3, name + normal))
 
 
 def test_edge_rows(spark):
