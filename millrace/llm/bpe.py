@@ -27,6 +27,8 @@ _ODD_SPACE = "".join(map(chr, (0, 9, *range(11, 14), *range(0x1C, 0x20), 0x85, 0
 _PLAIN = r"^(?P<core>\n?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
 #: What a remembered word takes besides its characters and ids: the dictionary's slot, two objects, two offsets.
 _WORD_BYTES = 150
+#: Units that the tokenizer takes at once: its own tokens take far more memory than their ids.
+_UNITS = 1 << 14
 
 
 def byte_of_char() -> dict[str, int]:
@@ -44,7 +46,7 @@ def _strings(column: pa.Array) -> list[str]:
 class Memo:
     """ids of texts; once the remembered words take about `most_bytes`, all are forgotten."""
 
-    def __init__(self, path: str, most_bytes: int = 160 << 20):
+    def __init__(self, path: str, most_bytes: int = 72 << 20):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -130,10 +132,9 @@ class Memo:
         new = [c for c in dict.fromkeys(cores) if c not in self.at]
         others = [u for u in dict.fromkeys([*others, *lines.values(), *(c for c in new if c[0] == "\n")]) if u not in self.at]
         new = [c for c in new if c[0] != "\n"]
-        if others:
-            self._add(others)
-        if new:
-            self._add_words(new)
+        for units_, add in ((others, self._add), (new, self._add_words)):
+            for a in range(0, len(units_), _UNITS):
+                add(units_[a : a + _UNITS])
         if not marked:
             return
         of_end = {mark: self.at[line] for mark, line in lines.items()}
