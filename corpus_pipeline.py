@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import near_copies, packing, quality_classifier, quality_rules
 from millrace.llm.common import id_fold, table
-from millrace.session import scratch_path
+from millrace.session import scratch_path, write_groups
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,6 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        write_groups(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
     return docs

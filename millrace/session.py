@@ -9,6 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a row group in tables that stages and scratch tables hold texts in. A task holds one row group when it writes and
+#: all of one column's chunk when it reads; at the default of 128 MB eight tasks of a stage that does both fill a heap of 1 GB.
+ROW_GROUP = 16 << 20
+
+
 def builder(app: str = "millrace", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession.Builder:
     """A session builder with the settings the engine relies on (UTC, AQE, Arrow)."""
     b = (
@@ -52,13 +57,18 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def write_groups(df: DataFrame, path: str) -> None:
+    """Write df as Parquet in row groups of ROW_GROUP bytes, so that neither its writers nor its readers need a large heap."""
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
 
     The copy survives the loss of any executor, unlike a local checkpoint or a cached block."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    write_groups(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,3 +1,6 @@
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
 from tests.llm.test_quality_rules import brute
 from tests.llm.test_near_copies import brute_kept
@@ -62,3 +65,12 @@ def test_stages_on_edge_rows(spark):
     assert set(left["quality_classifier"]) <= set(every)
     once = sorted({x for x in every if x[0] != 3})  # the empty text of document 3 is a copy of document 2's null
     assert left["near_duplicates"] == once
+
+
+def test_stages_write_small_row_groups(spark, monkeypatch):
+    """Tasks hold a row group each; at Parquet's default of 128 MB a heap of 1 GB is too small for eight of them."""
+    text = F.expr("array_join(transform(sequence(1, 300), x -> sha2(concat(id, '-', x), 256)), ' ')")
+    monkeypatch.setattr(p, "STAGES", [("bulky", lambda spark, docs, sf_dir: spark.range(0, 2400, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text")))])
+    files = p.run(spark, "/root/testdata/sf0.001").inputFiles()
+    sizes = [group.total_byte_size for f in files for group in map(pq.ParquetFile(f.removeprefix("file://")).metadata.row_group, range(pq.ParquetFile(f.removeprefix("file://")).num_row_groups))]
+    assert sum(sizes) > 40 << 20 and max(sizes) < 24 << 20
