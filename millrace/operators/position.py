@@ -31,10 +31,10 @@ def file_order(df: DataFrame, *within: Column) -> DataFrame:
     return named.join(table, plain(F.col("__file")) == plain(F.col("__path"))).withColumn(POS, F.array(F.col("__n"), *within)).drop("__file", "__n", "__path")
 
 
-def dense(df: DataFrame, name: str = "__row", by: str | Column = POS) -> DataFrame:
-    """df with the number of each row in its order, from 0: one sort, a count for each sorted part, and running sums of the counts."""
+def counted(df: DataFrame, name: str = "__row", label: str = "counted") -> DataFrame:
+    """df with the number of each row as the plan yields them, from 0: a count for each part, and running sums of the counts."""
     part = F.shiftright("__mid", 33)
-    kept = materialize(df.orderBy(by).withColumn("__mid", F.monotonically_increasing_id()), "sorted")
+    kept = materialize(df.withColumn("__mid", F.monotonically_increasing_id()), label)
     sizes = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
@@ -42,6 +42,11 @@ def dense(df: DataFrame, name: str = "__row", by: str | Column = POS) -> DataFra
     return numbered.withColumn(name, F.col("__start") + F.col("__mid").bitwiseAND((1 << 33) - 1)).drop("__part", "__start", "__mid")
 
 
+def dense(df: DataFrame, name: str = "__row", by: str | Column = POS) -> DataFrame:
+    """df with the number of each row in its order, from 0: one sort, then counted()."""
+    return counted(df.orderBy(by), name, "sorted")
+
+
 def shuffled(df: DataFrame, seed: int) -> DataFrame:
     """A pseudo-random order from a hash of the old one; narrow, the sort waits for a sink."""
     return df.withColumn(POS, F.concat(F.array(F.xxhash64(F.col(POS), F.lit(seed))), F.col(POS)))

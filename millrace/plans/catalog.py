@@ -5,6 +5,8 @@ read those columns alone; order-dependent operators take their order from a key,
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,7 @@ from millrace.functions import numeric
 from millrace.functions.text import or_empty, strip, tokens
 from millrace.operators import attention as att
 from millrace.operators import calls, scheduling, topology
-from millrace.operators.position import POS, dense
+from millrace.operators.position import POS, counted, dense
 from millrace.session import scratch_path
 from millrace.sources import readers, writers
 
@@ -567,6 +569,6 @@ def column_sizes(spark, sf_dir):
 
 @query("SELECT count(*) AS n, count(*) AS n_distinct, CAST(12 AS INTEGER) AS shortest, CAST(12 AS INTEGER) AS longest FROM orders")
 def short_ids(spark, sf_dir):
-    i = numeric.short_id("obj-")
-    rows = _table(spark, sf_dir, "orders").select(i.alias("i"))
+    numbered = counted(_table(spark, sf_dir, "orders").select("o_orderkey"), "n")
+    rows = numbered.select(numeric.short_id("obj-", F.col("n"), secrets.randbits(32)).alias("i"))
     return rows.agg(F.count("*").alias("n"), F.count_distinct("i").alias("n_distinct"), F.min(F.length("i")).alias("shortest"), F.max(F.length("i")).alias("longest"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import numeric, text
 from millrace.operators import attention, calls, topology
+from millrace.operators.position import counted
+from millrace.plans.catalog import QUERIES
 
 
 @pytest.mark.parametrize("causal", [True, False])
@@ -181,6 +183,23 @@ def test_expressions(spark):
     assert len(spark.range(1).select(numeric.short_id("obj-").alias("i")).first().i) == 12
 
 
+def test_short_ids_of_many_rows_are_distinct(spark):
+    """Random digits alone repeat among a million rows with a probability over 1 - 1e-50."""
+    rows = counted(spark.range(0, 1_000_000, 1, 7), "n")
+    ids = rows.select("n", numeric.short_id("obj-", F.col("n"), key=12345).alias("i"))
+    found = ids.agg(F.count_distinct("i").alias("distinct"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum(F.col("i").rlike("^obj-[0-9a-f]{8}$").cast("int")).alias("shaped")).first()
+    assert found == (1_000_000, 0, 999_999, 1_000_000)
+    edge = spark.createDataFrame([(0,), (2**32 - 1,), (None,)], "n long").select(numeric.short_id("", F.col("n"), key=2**32 - 1).alias("i"))
+    assert len({r.i for r in edge.collect()}) == 3
+    with pytest.raises(Exception, match="2\\^32 rows"):
+        spark.range(2**32, 2**32 + 1).select(numeric.short_id("obj-", F.col("id"))).collect()
+
+
+def test_short_ids_query_beyond_random_digits(spark, tmp_path):
+    spark.range(0, 1_000_000, 1, 3).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    assert QUERIES["short_ids"](spark, str(tmp_path)).collect() == [(1_000_000, 1_000_000, 12, 12)]
+
+
 def test_streams(spark, tmp_path):
     from millrace.streaming.keyed import keyed_fold, windowed_counts
 
