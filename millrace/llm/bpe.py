@@ -6,12 +6,13 @@ a word with the space, or with the line break, before it. Texts with any other w
 are given to the tokenizer whole.
 
 Arrow splits the texts and makes the units of a slice distinct; only those that the memo lacks reach the tokenizers library,
-in one call. A word of Latin letters is one run of the tokenizer's own pattern and ASCII marks after it are the next, so a
+in few calls. A full memo keeps the words that came again since it was last full: most words of a corpus come once. A word of Latin letters is one run of the tokenizer's own pattern and ASCII marks after it are the next, so a
 copy of the tokenizer without that pattern merges the words; all other units go through the tokenizer as it is."""
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import os
 import re
 
@@ -19,16 +20,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from millrace.llm.shingles import mixed
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space other than a space and a line break, NUL, and two marks that some tables call white space.
 _ODD_SPACE = "".join(map(chr, (0, 9, *range(11, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 #: A unit of Latin letters (U+00C0 to U+024F but two signs: letters in any version of Unicode) and ASCII marks.
 _PLAIN = r"^(?P<core>\n?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
-#: What a remembered word takes besides its characters and ids: the dictionary's slot, two objects, two offsets.
-_WORD_BYTES = 150
+#: What a remembered unit takes besides its ids: a key of 16 bytes, where its ids lie, its uses, two to four slots of 4 bytes, and
+#: room in buffers that double.
+_WORD_BYTES = 60
+#: Bytes of a unit that is its own key.
+_KEY_BYTES = 16
 #: Units that the tokenizer takes at once: its own tokens take far more memory than their ids.
 _UNITS = 1 << 14
+#: Masks of the lowest 0 to 8 bytes of a word.
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def byte_of_char() -> dict[str, int]:
@@ -43,10 +51,32 @@ def _strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
+def keys(units: pa.Array) -> np.ndarray:
+    """Two 64-bit words for each unit of a string array without nulls: its bytes, then zeros (no unit holds a NUL); of a unit of
+    more than 16 bytes a digest of 128 bits."""
+    n = len(units)
+    _, at, data = units.buffers()
+    at = np.frombuffer(at, dtype=np.int32)[units.offset : units.offset + n + 1].astype(np.int64)
+    raw = np.concatenate([np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8), np.zeros(_KEY_BYTES, np.uint8)])
+    starts, sizes = at[:-1] - at[0], np.diff(at)
+    words = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    out = np.empty((2, n), dtype=np.uint64)
+    for k in range(2):
+        left = np.clip(sizes - 8 * k, 0, 8)
+        own = words[np.minimum(starts + 8 * k, len(raw) - 8)].view("<u8").ravel()
+        out[k] = own & _LOW_BYTES[left]
+    for i in np.flatnonzero(sizes > _KEY_BYTES).tolist():
+        a = starts[i]
+        out[:, i] = np.frombuffer(hashlib.blake2b(raw[a : a + sizes[i]], digest_size=16).digest(), dtype="<u8")
+    return out
+
+
 class Memo:
-    """ids of texts; once the remembered words take about `most_bytes`, all are forgotten."""
+    """ids of texts. Remembered units stand in an open-addressing table of numpy arrays, a fraction of what a dictionary of strings
+    takes, and a slice's units are looked up together. Once they take about `most_bytes`, those are forgotten that came in
+    fewest slices, until the others take half of it."""
 
-    def __init__(self, path: str, most_bytes: int = 72 << 20):
+    def __init__(self, path: str, most_bytes: int = 48 << 20):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -66,33 +96,78 @@ class Memo:
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.slots = np.full(1 << 12, -1, dtype=np.int32)  # numbers of units, each in the first free slot from its hash on
+        self.keys = np.zeros((2, 1 << 10), dtype=np.uint64)
+        self.starts, self.sizes = np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int32)
+        self.uses = np.zeros(1 << 10, dtype=np.int32)  # slices since the memo was last full
         self.pool = np.zeros(1 << 12, dtype=np.int32)
-        self.starts, self.sizes = np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int64)
-        self.words = self.used = self.chars = 0
-        self._append(["", "\n"], np.array(self.newline, dtype=np.int32), np.zeros(2, dtype=np.int64), np.array([0, 1]))
+        self.words = self.used = 0
+        self._append(keys(pa.array(["", "\n"])), np.array(self.newline, dtype=np.int32), np.zeros(2, dtype=np.int64), np.array([0, 1]))
+
+    def shrink(self) -> None:
+        """Forget the units of fewest uses, until the others take half of the bytes; count uses anew."""
+        uses, sizes = self.uses[: self.words], self.sizes[: self.words]
+        by_uses = np.bincount(uses, weights=_WORD_BYTES + 4 * sizes)
+        most = np.cumsum(by_uses[::-1])[::-1]  # bytes of the units of so many uses or more
+        least = max(2, int(np.argmax(np.append(most, 0) <= self.most_bytes // 2)))
+        kept = np.flatnonzero(uses >= least)
+        kept = kept[kept > 1]  # "" and a line break are there anyway
+        own, sizes = self.keys[:, kept], sizes[kept]
+        ids, ends = self._gather(self.starts[kept], sizes)
+        self.forget()
+        self._append(own, ids, ends - sizes, sizes)
 
     @property
     def bytes(self) -> int:
-        return self.words * _WORD_BYTES + self.chars + 4 * self.used
+        return self.words * _WORD_BYTES + 4 * self.used
+
+    def _slot(self, own: np.ndarray) -> np.ndarray:
+        return (mixed(own[0] ^ mixed(own[1])) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def _find(self, own: np.ndarray) -> np.ndarray:
+        """Numbers of the units of these keys, -1 for an unknown one."""
+        out = np.full(own.shape[1], -1, dtype=np.int64)
+        left, at = np.arange(own.shape[1]), self._slot(own)
+        while len(left):
+            found = self.slots[at]
+            taken = found >= 0
+            same = taken & (self.keys[0][found] == own[0][left]) & (self.keys[1][found] == own[1][left])
+            out[left[same]] = found[same]
+            go_on = taken & ~same
+            left, at = left[go_on], (at[go_on] + 1) & (len(self.slots) - 1)
+        return out
+
+    def _enter(self, first: int) -> None:
+        """Put the units from number first on into slots."""
+        numbers = np.arange(first, self.words, dtype=np.int32)
+        at = self._slot(self.keys[:, first : self.words])
+        while len(numbers):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = numbers[free]  # of several for one slot the last gets it
+            go_on = self.slots[at] != numbers
+            numbers, at = numbers[go_on], (at[go_on] + 1) & (len(self.slots) - 1)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _append(self, words: list[str], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        """Remember words whose ids lie in `ids` from starts on. Buffers double when they are full."""
-        n, m = self.words + len(words), self.used + len(ids)
+    def _append(self, own: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember units, by their keys, all new and distinct, whose ids lie in `ids` from starts on. Buffers double when full."""
+        first, n, m = self.words, self.words + own.shape[1], self.used + len(ids)
         if n > len(self.starts):
-            more = np.zeros(max(n, 2 * len(self.starts)) - self.words, dtype=np.int64)
-            self.starts, self.sizes = np.concatenate([self.starts[: self.words], more]), np.concatenate([self.sizes[: self.words], more])
+            size = max(n, 2 * len(self.starts))
+            longer = lambda x: np.concatenate([x[..., :first], np.zeros((*x.shape[:-1], size - first), dtype=x.dtype)], axis=-1)
+            self.keys, self.starts, self.sizes, self.uses = map(longer, (self.keys, self.starts, self.sizes, self.uses))
         if m > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(m, 2 * len(self.pool)) - self.used, dtype=np.int32)])
-        self.at.update(zip(words, range(self.words, n)))
-        self.starts[self.words : n] = starts + self.used
-        self.sizes[self.words : n] = sizes
+        self.keys[:, first:n] = own
+        self.starts[first:n] = starts + self.used
+        self.sizes[first:n] = sizes
         self.pool[self.used : m] = ids
         self.words, self.used = n, m
-        self.chars += sum(map(len, words))
+        if 2 * n > len(self.slots):
+            self.slots = np.full(1 << (4 * n - 1).bit_length(), -1, dtype=np.int32)
+            first = 0
+        self._enter(first)
 
     def _gather(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of runs of the pool one after another, and where each ends."""
@@ -100,70 +175,77 @@ class Memo:
         total = int(ends[-1]) if len(ends) else 0
         return self.pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)], ends
 
-    def _add(self, units: list[str]) -> None:
+    def _add(self, units: pa.Array) -> None:
         """Encode units that the memo lacks in one call. Each stands on a line of its own: the line break before a unit is its
         own where it starts with one, and is left out where the unit starts with a space."""
-        ids = np.array(self.whole("".join([u if u[0] == "\n" else "\n " + u for u in units])), dtype=np.int32)
+        own = _strings(units)
+        ids = np.array(self.whole("".join([u if u[0] == "\n" else "\n " + u for u in own])), dtype=np.int32)
         cuts = np.flatnonzero(ids == self.newline[0])
         if len(cuts) != len(units):
             raise ValueError("units and token runs don't match")
-        starts = cuts + np.fromiter((u[0] != "\n" for u in units), dtype=bool, count=len(units))
-        self._append(units, ids, starts, np.append(cuts[1:], len(ids)) - starts)
+        starts = cuts + np.fromiter((u[0] != "\n" for u in own), dtype=bool, count=len(own))
+        self._append(keys(units), ids, starts, np.append(cuts[1:], len(ids)) - starts)
 
-    def _add_words(self, words: list[str]) -> None:
+    def _add_words(self, words: pa.Array) -> None:
         """Encode words of Latin letters, each after a space, by merges alone: a word's first token holds the space."""
-        joined = " " + "\n ".join(words)
+        joined = " " + "\n ".join(_strings(words))
         joined = joined.replace(" ", self.space) if joined.isascii() else joined.translate(self.letters)
         ids = np.array(self.merger.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32)
         starts = np.flatnonzero(self.leads[ids])
         if len(starts) != len(words):
             raise ValueError("words and token runs don't match")
-        self._append(words, ids, starts, np.append(starts[1:], len(ids)) - starts)
+        self._append(keys(words), ids, starts, np.append(starts[1:], len(ids)) - starts)
+
+    def _new(self, units: pa.Array) -> pa.Array:
+        """Those of an array that the memo lacks, once each."""
+        units = units.unique()
+        return units.filter(pa.array(self._find(keys(units)) < 0))
 
     def _learn(self, units: pa.Array) -> None:
         """Remember the units of an array without repeats, none of which is known."""
         parts = pc.extract_regex(units, _PLAIN)
         plain = parts.is_valid()
-        others = _strings(units.filter(pc.invert(plain)))
         parts = parts.filter(plain)
-        cores, tails, own = _strings(parts.field("core")), _strings(parts.field("tail")), _strings(units.filter(plain))
-        marked = [i for i, t in enumerate(tails) if t]
-        lines = {tails[i]: "\n" + tails[i] for i in marked}  # marks alone, without a space before them
-        new = [c for c in dict.fromkeys(cores) if c not in self.at]
-        others = [u for u in dict.fromkeys([*others, *lines.values(), *(c for c in new if c[0] == "\n")]) if u not in self.at]
-        new = [c for c in new if c[0] != "\n"]
-        for units_, add in ((others, self._add), (new, self._add_words)):
-            for a in range(0, len(units_), _UNITS):
-                add(units_[a : a + _UNITS])
-        if not marked:
+        cores, tails, own = parts.field("core"), parts.field("tail"), units.filter(plain)
+        marked = pc.not_equal(tails, "")
+        lines = pc.binary_join_element_wise("\n", tails.filter(marked), "")  # marks alone, without a space before them
+        new = self._new(cores)
+        of_line = pc.starts_with(new, "\n")
+        others = self._new(pa.concat_arrays([units.filter(pc.invert(plain)), lines, new.filter(of_line)]))
+        new = new.filter(pc.invert(of_line))
+        ascii_ = pc.string_is_ascii(new)  # a call that holds another letter goes through a table, character by character
+        for these, add in ((others, self._add), (new.filter(ascii_), self._add_words), (new.filter(pc.invert(ascii_)), self._add_words)):
+            for a in range(0, len(these), _UNITS):
+                add(these.slice(a, _UNITS))
+        if not len(lines):
             return
-        of_end = {mark: self.at[line] for mark, line in lines.items()}
-        first = np.array([self.at[cores[i]] for i in marked], dtype=np.int64)
-        last = np.array([of_end[tails[i]] for i in marked], dtype=np.int64)
+        first, last = self._find(keys(cores.filter(marked))), self._find(keys(lines))
         starts = np.stack([self.starts[first], self.starts[last] + 1], axis=1).ravel()  # without the mark's line break
         sizes = np.stack([self.sizes[first], self.sizes[last] - 1], axis=1).ravel()
         ids, stops = self._gather(starts, sizes)
         stops = stops[1::2]
         begins = np.concatenate([[0], stops[:-1]])
-        self._append([own[i] for i in marked], ids, begins, stops - begins)
+        self._append(keys(own.filter(marked)), ids, begins, stops - begins)
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string array's texts one after another, and the number of ids of each; null is an empty text; `end` is
         added after each text."""
         if self.bytes > self.most_bytes:
-            self.forget()
+            self.shrink()
         texts = pc.fill_null(texts.cast(pa.string()), "")
         odd = pc.match_substring_regex(texts, self.odd)
         usual = texts.filter(pc.invert(odd))
         lines = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\n", usual, ""), "\n", " \n"), " ")
         at = lines.offsets.to_numpy().astype(np.int64)  # each list: "", the text's first unit with a line break, its other units
         coded = lines.flatten().dictionary_encode()
-        distinct = _strings(coded.dictionary)
-        index = list(map(self.at.get, distinct))
-        if None in index:
-            self._learn(coded.dictionary.filter(pa.array([x is None for x in index])))
-            index = list(map(self.at.__getitem__, distinct))
-        own = np.array(index, dtype=np.int64)[coded.indices.to_numpy()]
+        wanted = keys(coded.dictionary)
+        index = self._find(wanted)
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            self._learn(coded.dictionary.take(pa.array(new)))
+            index[new] = self._find(wanted[:, new])
+        self.uses[index] += 1
+        own = index[coded.indices.to_numpy()]
         starts, sizes = self.starts[own], self.sizes[own]
         first = at[:-1] + 1  # the line break before the text isn't part of it
         starts[first] += 1

@@ -35,19 +35,22 @@ def cuts(places: np.ndarray, penalty: np.ndarray, window: int, window_cost: int)
     n = len(places)
     index = np.full(int(places[-1]) + 1, -1, dtype=np.int64)
     index[places] = np.arange(n)
-    short: dict[int, list[int]] = {}
+    later, earlier = [], []
     step = 1
     while step <= window:
         back = places - step
-        ok = back >= 0
-        hit = np.full(n, -1, dtype=np.int64)
-        hit[ok] = index[back[ok]]
-        for j in np.flatnonzero(hit >= 0).tolist():
-            short.setdefault(j, []).append(int(hit[j]))
+        hit = index[back[np.searchsorted(places, step) :]]  # places ascend
+        at = np.flatnonzero(hit >= 0)
+        later.append(at + n - len(hit))
+        earlier.append(hit[at])
         step *= 2
+    later, earlier = np.concatenate(later), np.concatenate(earlier)
+    short = earlier[np.argsort(later, kind="stable")].tolist()  # the predecessors at a power of two of each cut
+    ends = np.cumsum(np.bincount(later, minlength=n)).tolist()
     place, extra = places.tolist(), (penalty + window_cost).tolist()
     best = [0] * n
     came = [0] * n
+    done = 0
     queue, keys, head = [0], [0], 0  # indices and best + place, both ascending
     for j in range(1, n):
         p = place[j]
@@ -56,10 +59,12 @@ def cuts(places: np.ndarray, penalty: np.ndarray, window: int, window_cost: int)
             head += 1
         i = queue[head]
         b = keys[head] + window - p
-        if j in short:
-            for k in short[j]:
-                if best[k] < b:
-                    b, i = best[k], k
+        end = ends[j]
+        while done < end:
+            k = short[done]
+            if best[k] < b:
+                b, i = best[k], k
+            done += 1
         b += extra[j]
         best[j] = b
         came[j] = i

@@ -120,3 +120,28 @@ def test_edge_rows(spark):
     nameless = spark.createDataFrame([(None, "a")], "doc_id long, text string")
     assert [(r.doc_id, r.length) for r in packing.pack(nameless, PATH).collect()] == [(None, 2)]
     assert packing.pack(docs.where("false"), PATH).count() == 0
+
+
+def test_a_full_memo_keeps_recurring_words():
+    memo, t = bpe.Memo(PATH, most_bytes=200_000), Tokenizer.from_file(PATH)
+    often = [f"common{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
+    learned, learn = [], memo._learn
+    memo._learn = lambda units: (learned.extend(units.to_pylist()), learn(units))
+    rng, most = random.Random(6), 0
+    for _ in range(30):
+        text = " ".join([*often, *("".join(rng.choices("abcdefghij", k=9)) for _ in range(600))])
+        ids, _ = memo.encode(pa.array([text]))
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+        most = max(most, memo.bytes)
+    assert len(learned) > 15_000 and most < 400_000  # it was full several times
+    assert [learned.count(w) for w in often[1:]] == [1] * (len(often) - 1)
+
+
+def test_units_of_one_beginning_are_told_apart():
+    words = ["x" * n for n in range(1, 40)] + ["é" * n for n in range(1, 20)] + ["a" * 16 + c for c in "abc"] + ["日本" * n for n in range(1, 9)]
+    memo, t = bpe.Memo(PATH), Tokenizer.from_file(PATH)
+    own = bpe.keys(pa.array(words))
+    assert len(set(zip(*own.tolist()))) == len(words)
+    assert bpe.keys(pa.array(["left out", *words]).slice(1)).tolist() == own.tolist()
+    for _ in range(2):
+        assert memo.encode(pa.array([" ".join(words)]))[0].tolist() == t.encode(" ".join(words), add_special_tokens=False).ids
