@@ -11,7 +11,9 @@ In a group, first each member meets a few others of near size, in an order of th
 that it meets in all its groups. That links a large family of near copies, each of which is similar to many of the others, without
 all its pairs. Then the tries of the fingerprints of those that the first round's components leave apart go down together (simhash.trie_join)
 within a Hamming budget; members of the group's largest component meet the others only. That happens twice: first each of the
-others is compared with the closest, then those that are still apart with all that is left. Pairs whose sketches, counts of the
+others is compared with the closest, then those that are still apart with all that is left. Sets that resemble each other share many
+groups, in the same order; so each row names the set's last shared shingles before the group's own, and two rows that name the
+same one are left to that earlier group, where they meet as well: of all the groups of a pair the first brings it. Pairs whose sketches, counts of the
 sets' members in 256 buckets, differ too much can't reach the similarity; all others are compared by their exact sets. At a similarity of 0.8 or more a bit differs with a probability of at most 0.188, and 0.162 for sets of ten or more
 (computed over all sizes); so the budgets, 48 of 128 bits and 30 of the first 64, miss a pair at the threshold with a chance
 under 1e-6, and under 1e-8 for sets of ten or more. SimHash alone, with few enough bits for blocks, would miss most such pairs.
@@ -28,7 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import screened, slices, texts, whole_groups
@@ -43,6 +45,8 @@ SAMPLE, RANKED = 10_000, 50_000
 BUDGET, HALF = 48, 30
 #: Members of its groups that a set meets in the first round, and how many of them it is compared with, the closest.
 MEETINGS, CLOSE = 32, 12
+#: Shared shingles before the group's own that a row names.
+BACK = 4
 #: Buckets of a sketch.
 BUCKETS = 256
 
@@ -128,6 +132,23 @@ def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in columns], ["h", "n", "node", "pos"])
 
 
+def preceded(shared: DataFrame) -> DataFrame:
+    """Rows (h, node, pos, ...) with h1, h2, ...: the shingles of the node's BACK rows before in its prefix, h where there is none."""
+    by = Window.partitionBy("node").orderBy("pos")
+    return shared.select("*", *(F.coalesce(F.lag("h", k).over(by), "h").alias(f"h{k}") for k in range(1, BACK + 1)))
+
+
+def met_before(h: np.ndarray, before: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of one group name the same shingle before its own, so that they meet in that one's group too."""
+    out = np.zeros(len(i), dtype=bool)
+    for x in before:
+        own = x[i]
+        some = own != h[i]
+        for y in before:
+            out |= some & (own == y[j])
+    return out
+
+
 def distance(f: np.ndarray, g: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(f[i] ^ f[j]).astype(np.int64) + np.bitwise_count(g[i] ^ g[j])
 
@@ -159,9 +180,12 @@ def met(similarity: float) -> Callable:
     return run
 
 
-def candidates(h: np.ndarray, n: np.ndarray, node: np.ndarray, pos: np.ndarray, c: np.ndarray, f: np.ndarray, g: np.ndarray, similarity: float, closest: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of one group (h ascending) and different components c that size, place and fingerprints allow; with
-    `closest` so many at most for each node outside the group's largest component, in a quarter of its groups."""
+def candidates(h: np.ndarray, n: np.ndarray, node: np.ndarray, pos: np.ndarray, c: np.ndarray, f: np.ndarray, g: np.ndarray, before: list[np.ndarray], similarity: float, closest: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one group (h ascending) and different components c that size, place and fingerprints allow, but for those
+    that an earlier group brings; with `closest` so many at most for each node outside the group's largest component.
+
+    What is asked of a pair is the same in all its groups but for the places, which allow most in the first one; so it is lost
+    in none by being left to an earlier one."""
     n, pos, f, g = n.astype(np.int64), pos.astype(np.int64), f.view(np.uint64), g.view(np.uint64)
     order = np.lexsort((c, h))
     new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])])
@@ -179,8 +203,6 @@ def candidates(h: np.ndarray, n: np.ndarray, node: np.ndarray, pos: np.ndarray,
     rows = np.flatnonzero(open_[group])
     rows = rows[np.lexsort((f[rows], group[rows]))]
     outer = rows[~inside[rows]]
-    if closest:
-        outer = outer[mixed(h[outer].view(np.uint64) ^ mixed(node[outer].view(np.uint64))) % np.uint64(4) == 0]
     runs = np.arange(group[-1] + 2)
     a_at, b_at = np.searchsorted(group[outer], runs), np.searchsorted(group[rows], runs)
     for i, j in trie_join(f[outer], a_at, f[rows], b_at, HALF):
@@ -191,6 +213,8 @@ def candidates(h: np.ndarray, n: np.ndarray, node: np.ndarray, pos: np.ndarray,
         keep = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
         keep &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least_shared(n[i], n[j], similarity)
         i, j = i[keep], j[keep]
+        keep = ~met_before(h, before, i, j)
+        i, j = i[keep], j[keep]
         if closest:
             order = np.lexsort((distance(f, g, i, j), i))
             i, j = i[order], j[order]
@@ -201,16 +225,34 @@ def candidates(h: np.ndarray, n: np.ndarray, node: np.ndarray, pos: np.ndarray,
 
 
 def apart(similarity: float, closest: int | None) -> Callable:
-    """Rows (h, n, node, pos, c, f, g) sorted by h -> pairs (a, b) of one group in different components."""
+    """Rows (h, n, node, pos, c, f, g, h1, ...) sorted by h -> pairs (a, b) of one group in different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in whole_groups(batches):
-            for pair in candidates(*columns, similarity, closest):
+        for h, n, node, pos, c, f, g, *before in whole_groups(batches):
+            for pair in candidates(h, n, node, pos, c, f, g, before, similarity, closest):
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, pair)), ["a", "b"])
 
     return run
 
 
+def grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("h").sortWithinPartitions("h")
+
+
+def occurrences(vertices: DataFrame) -> DataFrame:
+    """(h, n, node, pos, f, g, h1, ...): a row for each shingle h of a vertex's prefix that stands in another one's prefix too."""
+    postings = grouped(vertices.select("n", "node", F.posexplode("prefix").alias("pos", "h")).select("h", "n", "node", "pos"))
+    shared = postings.mapInArrow(shared_only, "h long, n int, node long, pos int").join(vertices.select("node", "f", "g"), "node")
+    return preceded(shared.select("h", "n", "node", "pos", "f", "g"))
+
+
+def still_apart(shared: DataFrame, roots: DataFrame, similarity: float, closest: int | None) -> DataFrame:
+    """Pairs (a, b) in different components of the table (node, root) that a group brings; few of them more than once."""
+    before = shared.columns[6:]
+    marked = shared.join(roots, "node", "left").select("h", "n", "node", "pos", F.coalesce("root", "node").alias("c"), "f", "g", *before)
+    return grouped(marked).mapInArrow(apart(similarity, closest), "a long, b long")
+
+
 def similar(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of vertices whose sets reach the similarity. Only texts that stand in a pair are moved."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(vertices, "node").select("node", F.col("doc_id").alias("d"), F.col("sig").alias("s"))
@@ -243,11 +285,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     first = [F.first(c).alias(c) for c in ("n", "f", "g", "sketch", "prefix")]
     sets = marks.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("sig", "doc_id").alias("sig"), F.count("*").alias("rows"), *first)
     vertices = materialize(numbered(sets), "vertices")
-    grouped = lambda rows: rows.repartition("h").sortWithinPartitions("h")
-    postings = grouped(vertices.select("n", "node", F.posexplode("prefix").alias("pos", "h")).select("h", "n", "node", "pos"))
-    shared = postings.mapInArrow(shared_only, "h long, n int, node long, pos int").join(vertices.select("node", "f", "g"), "node")
-    shared = materialize(shared.select("h", "n", "node", "pos", "f", "g"), "shared")
-    pairs = grouped(shared).mapInArrow(met(similarity), "node long, other long, bits long").groupBy("node", "other").agg(F.min("bits").alias("bits"))
+    shared = materialize(occurrences(vertices), "shared")
+    pairs = grouped(shared.select("h", "n", "node", "pos", "f", "g")).mapInArrow(met(similarity), "node long, other long, bits long").groupBy("node", "other").agg(F.min("bits").alias("bits"))
     both = pairs.union(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"), "bits"))
     closest = both.withColumn("rank", F.expr("row_number() OVER (PARTITION BY node ORDER BY bits, other)")).where(F.col("rank") <= CLOSE)
     pairs = closest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
@@ -255,8 +294,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     links = materialize(similar(pairs, vertices, docs, *how, similarity), "links")
     roots = components(links)
     for closest in (CLOSE, None):
-        marked = shared.join(roots, "node", "left").select("h", "n", "node", "pos", F.coalesce("root", "node").alias("c"), "f", "g")
-        rest = grouped(marked).mapInArrow(apart(similarity, closest), "a long, b long").distinct()
+        rest = still_apart(shared, roots, similarity, closest).distinct()
         rest = materialize(possible(rest, vertices, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
         links = materialize(links.union(similar(rest, vertices, docs, *how, similarity)), "links")
         roots = components(links)

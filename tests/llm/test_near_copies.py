@@ -143,3 +143,30 @@ def test_sketches_rule_out_no_similar_pair():
         b = np.concatenate([a[: int(n * rng.uniform(0.7, 1))], rng.integers(0, 2**63, int(n * rng.uniform(0, 0.3)), dtype=np.uint64)])
         x, y = (np.frombuffer(s, dtype=np.uint8).astype(int) for s in near_copies.sketches(np.concatenate([a, b]), [len(a), len(b)]))
         assert np.abs(x - y).sum() <= len(set(a) ^ set(b))
+
+
+def test_groups_bring_a_pair_about_once(spark, monkeypatch):
+    """Texts of a family share many groups; a pair comes from the first of them, and none is lost by that."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 3000, 200).tolist()
+    texts = []
+    for _ in range(60):
+        copy = [f"w{x}" for x in base]
+        for i in rng.integers(0, 200, rng.integers(2, 6)):
+            copy[i] = f"y{rng.integers(1e6)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate([*texts, *made().values()])), "doc_id long, text string")
+    how = ("doc_id", "text", 5, 42)
+    sets = near_copies.prefixes(docs, near_copies.frequent(docs, *how), *how, 0.8).dropDuplicates(["key"])
+    vertices = near_copies.materialize(near_copies.numbered(sets), "vertices")
+    roots = spark.createDataFrame([], "node long, root long")
+
+    def brought(back):
+        monkeypatch.setattr(near_copies, "BACK", back)
+        rows = near_copies.still_apart(near_copies.occurrences(vertices), roots, 0.8, None).collect()
+        return len(rows), {tuple(r) for r in rows}
+
+    n, pairs = brought(near_copies.BACK)
+    every, same = brought(0)
+    assert pairs == same and len(pairs) > 1000
+    assert n < 1.5 * len(pairs) and every > 4 * len(pairs)
